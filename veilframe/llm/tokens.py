@@ -26,7 +26,7 @@ _INSIDE = re.compile(rf'(?<=[{_LETTERS}])(?=[\n!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{{
 _WORD = re.compile(rf"[{_LETTERS}]+")
 _GLUED = re.compile(r"(?<=\S) ")
 _ODD_SPACE = re.compile(r"\s ")
-MEMORY = 400_000  # entries of each memory; a full one starts anew
+MEMORY = 600_000  # entries of each memory
 LONGEST = 64  # characters of a piece worth remembering
 
 
@@ -49,7 +49,27 @@ def _kind(spec: dict) -> str:
     return "whole"
 
 
-class _Parts(dict):
+class _Memory(dict):
+    """What was encoded before. A full one takes nothing more for a while, so that
+    frequent strings, which come early, are not driven out by ones that never return."""
+
+    def __init__(self):
+        super().__init__()
+        self._refused = 0
+
+    def keep(self, key: str, out: bytes) -> bytes:
+        if len(self) < MEMORY:
+            if len(key) <= LONGEST:
+                self[key] = out
+        else:
+            self._refused += 1
+            if self._refused >= 20 * MEMORY:
+                self._refused = 0
+                self.clear()
+        return out
+
+
+class _Parts(_Memory):
     """Token bytes of parts that the tokenizer itself keeps apart."""
 
     def __init__(self, encode):
@@ -57,29 +77,21 @@ class _Parts(dict):
         self._encode = encode
 
     def __missing__(self, part: str) -> bytes:
-        out = self._encode(part)
-        if len(part) <= LONGEST:
-            if len(self) >= MEMORY:
-                self.clear()
-            self[part] = out
-        return out
+        return self.keep(part, self._encode(part))
 
 
-class _Pieces(dict):
+class _Pieces(_Memory):
     """Token bytes of pieces between spaces, ``lead`` being what stands before each."""
 
-    def __init__(self, parts: _Parts, lead: str):
+    def __init__(self, parts: _Parts, lead: str, word):
         super().__init__()
-        self._parts, self._lead = parts, lead
+        self._parts, self._lead, self._word = parts, lead, word
 
     def __missing__(self, piece: str) -> bytes:
+        if piece.isascii() and piece.isalpha():
+            return self.keep(piece, self._word(piece))
         whole = self._lead + piece
-        out = b"".join(map(self._parts.__getitem__, _INSIDE.split(whole))) if whole else b""
-        if len(piece) <= LONGEST:
-            if len(self) >= MEMORY:
-                self.clear()
-            self[piece] = out
-        return out
+        return self.keep(piece, b"".join(map(self._parts.__getitem__, _INSIDE.split(whole))) if whole else b"")
 
 
 class Encoder:
@@ -98,9 +110,18 @@ class Encoder:
         alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
         single = [c for c in map(chr, range(0x20, 0x100)) if c == " " or _WORD.fullmatch(c)]
         self._bytes = {ord(c): alphabet.pre_tokenize_str(c)[0][0] for c in single}
-        parts = _Parts(self.part)
-        self._parts = parts
-        self._pieces = _Pieces(parts, " " if self._kind == "glued" else "")
+        self._parts = _Parts(self.part)
+        self._pieces = _Pieces(self._parts, " " if self._kind == "glued" else "", self._ascii_word())
+
+    def _ascii_word(self):
+        """What encodes a piece of ASCII letters alone."""
+        tokenize = self._model.tokenize
+        if self._kind == "glued":
+            mark = self._bytes[ord(" ")]
+            return lambda word: array("I", [t.id for t in tokenize(mark + word)]).tobytes()
+        if self._lowers:
+            return lambda word: array("I", [t.id for t in tokenize(word.lower())]).tobytes()
+        return lambda word: array("I", [t.id for t in tokenize(word)]).tobytes()
 
     def part(self, text: str) -> bytes:
         """Ids of a part that the tokenizer keeps apart from its neighbours."""
