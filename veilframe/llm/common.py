@@ -87,3 +87,51 @@ def append_columns(
             yield pa.RecordBatch.from_arrays([a.cast(f.type) if a.type != f.type else a for a, f in zip(arrays, arrow, strict=True)], names=arrow.names)
 
     return df.mapInArrow(run, schema)
+
+
+def map_groups(
+    df: DataFrame,
+    keys: Sequence[str],
+    work: Callable[[pa.Table, list[tuple[int, int]]], Iterator[pa.RecordBatch]],
+    schema: T.StructType,
+    rows: int = 20_000,
+) -> DataFrame:
+    """Python over whole groups, many small ones at a time.
+
+    Rows are dealt by ``keys`` and sorted by them; ``work`` gets tables of at
+    least ``rows`` rows (or all that is left) that hold whole groups, with the
+    (start, end) of each. Groups themselves must be small: the caller divides
+    large ones beforehand.
+    """
+    import numpy as np
+
+    def starts(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        new[:1] = True
+        for key in keys:
+            column = table.column(key).to_numpy()
+            new[1:] |= column[1:] != column[:-1]
+        return np.flatnonzero(new)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            size += batch.num_rows
+            if size < rows:
+                continue
+            table = pa.Table.from_batches(held).combine_chunks()
+            at = starts(table)
+            if len(at) > 1:
+                cut = int(at[-1])
+                yield from work(table.slice(0, cut), list(zip(at[:-1].tolist(), at[1:].tolist(), strict=True)))
+                table = table.slice(cut).combine_chunks()
+            held, size = table.to_batches(), table.num_rows
+        if held:
+            table = pa.Table.from_batches(held).combine_chunks()
+            at = [*starts(table).tolist(), table.num_rows]
+            yield from work(table, list(zip(at, at[1:], strict=False)))
+
+    return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

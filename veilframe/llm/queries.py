@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import chat, decontaminate, licenses, packing, secrets, sharding, simhash, token_store
+from veilframe.llm import chat, decontaminate, licenses, neighbours, packing, secrets, sharding, simhash, token_store, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -75,3 +75,18 @@ def op10_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 ORACLES["op10_sharding"] = sharding.SQL
+
+
+def toxicity_model(spark: SparkSession, docs: DataFrame, sf_dir: str) -> toxicity.Model:
+    return toxicity.train(docs, table(spark, sf_dir, "labels"), allowed=~toxicity.held_out("id"))
+
+
+@query
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return toxicity.digest(toxicity.scored(docs, toxicity_model(spark, docs, sf_dir), keep_text=False))
+
+
+@query
+def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neighbours.digest(neighbours.near_duplicates(table(spark, sf_dir, "embeddings")))
