@@ -61,7 +61,7 @@ def _matches(text: Column, kind: str, pattern: str, group: int = 0) -> Column:
     )
     kept = F.filter(cells, lambda c: F.char_length(c["value"]) >= LEAST.get(kind, 0))
     if kind == "bare":
-        kept = F.filter(kept, lambda c: looks_live(c["value"]))
+        kept = F.filter(kept, lambda c: looks_live(c["value"]) & _mixed(c["value"]))
     slim = F.transform(kept, lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["end"].alias("end"), c["kind"].alias("kind"), c["hash"].alias("hash"), looks_live(c["value"]).alias("live")))
     return F.when(text.rlike(pattern), slim).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,hash:string,live:boolean>>"))
 
@@ -73,6 +73,7 @@ def looks_live(value: Column) -> Column:
 
 
 def _mixed(value: Column) -> Column:
+    """Nothing announces a bare run, so more is asked of it: both cases."""
     return value.rlike("[a-z]") & value.rlike("[A-Z]")
 
 
