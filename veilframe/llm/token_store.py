@@ -21,6 +21,7 @@ import uuid
 from array import array
 from collections.abc import Iterator, Sequence
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -38,11 +39,11 @@ BLOCK_BYTES = 1 << 20  # of frames in a block, unless one document has more
 
 
 def _narrow(ids: bytes, width: int) -> bytes:
-    return array("H", array("I", ids)).tobytes() if width == 2 else ids
+    return np.frombuffer(ids, "<u4").astype("<u2").tobytes() if width == 2 else ids
 
 
 def _wide(raw: bytes, width: int) -> bytes:
-    return array("I", array("H", raw)).tobytes() if width == 2 else raw
+    return np.frombuffer(raw, "<u2").astype("<u4").tobytes() if width == 2 else raw
 
 
 def trained(samples: list[bytes], size: int = DICTIONARY_BYTES) -> bytes:

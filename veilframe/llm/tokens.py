@@ -24,6 +24,7 @@ from array import array
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _INSIDE = re.compile(rf'(?<=[{_LETTERS}])(?=[\n!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{{|}}~])|(?<=\S\n)(?=[{_LETTERS}])')
 _WORD = re.compile(rf"[{_LETTERS}]+")
+_SIMPLE = re.compile(rf'([{_LETTERS}]+)([!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]*)')
 _GLUED = re.compile(r"(?<=\S) ")
 _ODD_SPACE = re.compile(r"\s ")
 MEMORY = 600_000  # entries of each memory
@@ -88,8 +89,9 @@ class _Pieces(_Memory):
         self._parts, self._lead, self._word = parts, lead, word
 
     def __missing__(self, piece: str) -> bytes:
-        if piece.isascii() and piece.isalpha():
-            return self.keep(piece, self._word(piece))
+        if simple := _SIMPLE.fullmatch(piece):
+            word, marks = simple.groups()
+            return self.keep(piece, self[word] + self._parts[marks] if marks else self._word(piece))
         whole = self._lead + piece
         return self.keep(piece, b"".join(map(self._parts.__getitem__, _INSIDE.split(whole))) if whole else b"")
 
@@ -111,17 +113,20 @@ class Encoder:
         single = [c for c in map(chr, range(0x20, 0x100)) if c == " " or _WORD.fullmatch(c)]
         self._bytes = {ord(c): alphabet.pre_tokenize_str(c)[0][0] for c in single}
         self._parts = _Parts(self.part)
-        self._pieces = _Pieces(self._parts, " " if self._kind == "glued" else "", self._ascii_word())
-
-    def _ascii_word(self):
-        """What encodes a piece of ASCII letters alone."""
-        tokenize = self._model.tokenize
-        if self._kind == "glued":
-            mark = self._bytes[ord(" ")]
-            return lambda word: array("I", [t.id for t in tokenize(mark + word)]).tobytes()
-        if self._lowers:
-            return lambda word: array("I", [t.id for t in tokenize(word.lower())]).tobytes()
-        return lambda word: array("I", [t.id for t in tokenize(word)]).tobytes()
+        self._pieces = _Pieces(self._parts, " " if self._kind == "glued" else "", self._word())
+
+    def _word(self):
+        """What encodes a piece of Latin letters alone, with what stands before it."""
+        tokenize, letters = self._model.tokenize, self._bytes
+        mark = letters[ord(" ")] if self._kind == "glued" else ""
+        lowers = self._lowers and self._kind == "dropped"
+
+        def word(piece: str) -> bytes:
+            piece = piece.lower() if lowers else piece
+            piece = mark + (piece if piece.isascii() else piece.translate(letters))
+            return array("I", [t.id for t in tokenize(piece)]).tobytes()
+
+        return word
 
     def part(self, text: str) -> bytes:
         """Ids of a part that the tokenizer keeps apart from its neighbours."""
