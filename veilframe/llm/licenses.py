@@ -57,7 +57,10 @@ def ancestors(folder: Column) -> Column:
 
 
 def passages(docs: DataFrame, id_col: str, text_col: str, path: Column) -> DataFrame:
-    """(id, folder, hint, sentences, whole) of every row, written; texts stay only where there is a hint."""
+    """(id, path, sentences, whole, key) of every row, written; words stay only where there is a hint.
+
+    ``key`` is the MD5 of ``whole``: what follows carries keys and not texts.
+    """
     text = F.coalesce(name(text_col).cast("string"), F.lit(""))
     hint = text.rlike(HINT)
     sentences = F.filter(F.split(text, SENTENCE), lambda s: s.rlike(HINT))
@@ -67,19 +70,19 @@ def passages(docs: DataFrame, id_col: str, text_col: str, path: Column) -> DataF
         F.when(hint, F.array_distinct(F.transform(sentences, lambda s: F.array_join(_words(s), " ")))).alias("sentences"),
         F.when(hint, F.array_join(_words(text), " ")).alias("whole"),
     )
-    return written(rows, "licences")
+    return written(rows.withColumn("key", F.md5("whole")), "licences")
 
 
 def _scores(spark: SparkSession, texts: DataFrame) -> DataFrame:
     """(passage, template, license, cosine): the best template of each distinct passage.
 
-    ``texts`` has (passage, n): distinct passages and in how many rows each
-    occurs. Document frequencies count all these rows, so a copied passage weighs
+    ``texts`` has (passage, words, n): the keys of distinct passages, their words
+    and in how many rows each occurs. Document frequencies count all these rows, so a copied passage weighs
     as often as it occurs but is compared once.
     """
     known = templates(spark)
     total = texts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    terms = texts.select("passage", "n", F.explode(F.split("passage", " ")).alias("term")).groupBy("passage", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
+    terms = texts.select("passage", "n", F.explode(F.split("words", " ")).alias("term")).groupBy("passage", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = terms.groupBy("term").agg(F.sum("n").alias("df"))
     wanted = known.select("template", "license", F.explode("words").alias("term")).groupBy("template", "license", "term").agg(F.count(F.lit(1)).alias("tf"))
     weight = F.col("tf") * (F.log((F.lit(1.0) + F.col("total")) / (F.lit(1.0) + F.coalesce("df", F.lit(0)))) + 1.0)
@@ -118,17 +121,17 @@ def licences(
     spark = docs.sparkSession
     rows = passages(docs, id_col, text_col, path)
     hinted = rows.where("whole is not null and whole <> ''")
-    files = hinted.groupBy(F.col("whole").alias("passage")).agg(F.count(F.lit(1)).alias("n"))
-    heads = hinted.select(F.explode("sentences").alias("passage")).where("passage <> ''").groupBy("passage").agg(F.count(F.lit(1)).alias("n"))
-    texts = files.unionByName(heads).groupBy("passage").agg(F.sum("n").alias("n"))
+    files = hinted.select(F.col("key").alias("passage"), F.col("whole").alias("words"))
+    heads = hinted.select(F.explode("sentences").alias("words")).where("words <> ''").select(F.md5("words").alias("passage"), "words")
+    texts = files.unionByName(heads).groupBy("passage").agg(F.min("words").alias("words"), F.count(F.lit(1)).alias("n"))
     scores = written(_scores(spark, texts).where(F.col("cosine") >= similar), "licence-scores")
 
-    whole = scores.select(F.col("passage").alias("whole"), F.struct(F.col("cosine"), F.col("license")).alias("file"))
+    whole = scores.select(F.col("passage").alias("key"), F.struct(F.col("cosine"), F.col("license")).alias("file"))
     sentence = scores.select("passage", F.struct(F.col("cosine"), (-F.col("template")).alias("order"), F.col("license")).alias("head"))
-    keys = hinted.select("whole", "sentences").distinct()
-    heads_of = keys.select("whole", F.explode("sentences").alias("passage")).join(sentence, "passage").groupBy("whole").agg(F.max("head").alias("head"))
-    own = keys.select("whole").distinct().join(whole, "whole", "left").join(heads_of, "whole", "left").where("file is not null or head is not null")
-    found = rows.select("id", "path", directory_of(F.col("path")).alias("folder"), "whole").join(own, "whole", "left")
+    pairs = hinted.select("key", F.explode("sentences").alias("words")).select("key", F.md5("words").alias("passage")).distinct()
+    heads_of = pairs.join(sentence, "passage").groupBy("key").agg(F.max("head").alias("head"))
+    own = whole.join(heads_of, "key", "full").select("key", "file", "head")
+    found = rows.select("id", "path", directory_of(F.col("path")).alias("folder"), "key").join(own, "key", "left")
 
     # Directories with a licence file; ties by cosine, then name.
     covers = found.where("file is not null").groupBy("folder").agg(F.min(F.struct((-F.col("file.cosine")).alias("order"), F.col("file.license").alias("license"))).alias("m"))
