@@ -43,10 +43,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     lost = found.where("id is null").select("simhash", "component_id")
     ids = found.where("id is not null").groupBy("id").agg(F.max((F.col("id") == F.col("component_id")).cast("int")).alias("kept"), F.count(F.lit(1)).alias("n"))
     ids = written(ids.where("kept = 0 or n > 1"), "copies")
-    twice = ids.where("kept = 1").select("id")
+    twice = ids.where("kept = 1").select(F.col("id").alias("__id"))
     named = docs.where("doc_id is not null")
-    once = named.join(ids.select("id"), F.col("doc_id") == F.col("id"), "left_anti")
-    first = named.join(twice, F.col("doc_id") == F.col("id"), "left_semi").dropDuplicates(["doc_id"])
+    once = named.join(ids.select(F.col("id").alias("__id")), F.col("doc_id") == F.col("__id"), "left_anti")
+    first = named.join(twice, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
     out = once.unionByName(first)
     if lost.where("component_id is null").isEmpty():
         return out

@@ -136,7 +136,7 @@ def test_written_shards_hold_their_rows(spark, tmp_path):
     docs = spark.createDataFrame([(i, "x" * 50) for i in range(60)], "doc_id long, text string")
     sharding.write_shards(docs, str(tmp_path / "s"), limit=500)
     back = spark.read.parquet(str(tmp_path / "s"))
-    assert back.count() == 60 and back.groupBy("shard").agg(F.sum(F.length("text")).alias("n")).agg(F.max("n")).first()[0] <= 500
+    assert back.count() == 60 and back.groupBy("__shard").agg(F.sum(F.length("text")).alias("n")).agg(F.max("n")).first()[0] <= 500
 
 
 # ---- licences ------------------------------------------------------------------------

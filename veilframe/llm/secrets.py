@@ -198,10 +198,10 @@ def redact(
     """
     rows = scanned(docs, id_col, text_col, repo if repo is not None else F.lit(""), owner if owner is not None else F.lit(""))
     bad = findings(rows, wide_owners=wide_owners).where("verdict <> 'example'").select("key", F.struct("start", "end").alias("span")).distinct()
-    spans = bad.groupBy("key").agg(F.array_sort(F.collect_list("span")).alias("__spans"))
+    spans = bad.groupBy(F.col("key").alias("__marked")).agg(F.array_sort(F.collect_list("span")).alias("__spans"))
     text = F.coalesce(name(text_col).cast("string"), F.lit(""))
     hit = text.rlike(ASSIGN) | text.rlike(ACCESS_LONG) | text.rlike(HEX_LONG) | text.rlike(BARE)
-    dirty = docs.where(hit).withColumn("__key", row_key(id_col, text_col)).join(spans, F.col("__key") == F.col("key"), "left")
+    dirty = docs.where(hit).withColumn("__key", row_key(id_col, text_col)).join(spans, F.col("__key") == F.col("__marked"), "left")
     fixed = F.when(F.col("__spans").isNull(), name(text_col)).otherwise(masked(text, F.col("__spans")))
     dirty = dirty.withColumn(text_col, fixed).select(*[name(c) for c in docs.columns])
     return docs.where(~hit).unionByName(dirty)

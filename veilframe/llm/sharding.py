@@ -91,11 +91,14 @@ def _overflow(rows: DataFrame, limit: int) -> DataFrame:
 
 
 def write_shards(docs: DataFrame, folder: str, id_col: str = "doc_id", limit: int = LIMIT) -> None:
-    """``docs`` as one Parquet folder per shard; ids must be unique here. A task writes within one shard's limit."""
-    where = assign(docs, id_col, limit=limit).select("id", "shard", "page")
-    tagged = docs.join(where, name(id_col).eqNullSafe(F.col("id"))).drop("id")
-    named = tagged.withColumn("shard", F.concat(F.lit("b"), F.col("shard"), F.lit("_"), F.col("page").cast("string"))).drop("page")
-    named.repartition("shard").write.partitionBy("shard").parquet(folder)
+    """``docs`` as one Parquet folder per shard (``__shard=b<bits>_<page>``); ids must be unique here.
+
+    A task writes whole shards, so it holds no more than a shard at a time.
+    """
+    where = assign(docs, id_col, limit=limit)
+    place = F.concat(F.lit("b"), "shard", F.lit("_"), F.col("page").cast("string")).alias("__shard")
+    tagged = docs.join(where.select(F.col("id").alias("__id"), place), name(id_col).eqNullSafe(F.col("__id"))).drop("__id")
+    tagged.repartition("__shard").write.partitionBy("__shard").parquet(folder)
 
 
 SQL = f"""WITH d AS (SELECT doc_id, coalesce(strlen(text), 0) AS bytes, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '')), 1, {HASH_BITS // 4}))::BIGINT AS hash FROM documents),
