@@ -458,12 +458,12 @@ def geo_quadtree(spark, sf):
 @query(
     "geo_coordinates",
     """SELECT round(((c_custkey % 180) - 90) / 90.0, 6) AS x0, round(((c_custkey % 360) - 180) / 180.0, 6) AS x1
-    FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders) AND c_custkey < 250""",
+    FROM customer WHERE c_custkey IN (SELECT o_custkey FROM orders)""",
 )
 def geo_coordinates(spark, sf):
     key = lambda name: F.concat(F.lit("10.0."), F.col(name).cast("string"))
     searches = private(spark, sf, "orders").select(F.concat(key("o_custkey"), F.lit(".7"), F.repeat(F.lit(","), 20), F.lit("Cheap Flights")).alias("value"))
-    customer = private(spark, sf, "customer").where(F.col("c_custkey") < 250)
+    customer = private(spark, sf, "customer")
     places = customer.select(
         F.concat_ws("\t", F.concat(key("c_custkey"), F.lit(".0")), ((F.col("c_custkey") % 180) - 90).cast("string"), ((F.col("c_custkey") % 360) - 180).cast("string")).alias("value")
     )
