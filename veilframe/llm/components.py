@@ -12,9 +12,10 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root) for every node with a link to another; ``root`` is the smallest node reachable.
 
     Each round points every node at its smallest neighbour (or itself), follows
-    two more pointers, and replaces the ends of all edges by where they point.
-    Pointers only ever descend, so the smallest node of a component keeps itself
-    and ends as its root. Minima are combined before they are shuffled and joins
+    the pointers to their ends by doubling, and replaces the ends of all edges by
+    these. Pointers only ever descend, so the smallest node of a component keeps
+    itself and ends as its root; nodes left after a round are local minima, at
+    most half of the nodes before. Minima are combined before they are shuffled and joins
     can be split by AQE, so that a hub with very many links is no bottleneck.
     Only numbers of edges reach the driver. Null ends and loops are ignored.
     """
@@ -24,11 +25,7 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     while not left.isEmpty():
         both = left.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(left.select("b", "a"))
         point = both.groupBy("node").agg(F.min("other").alias("to")).select("node", F.least("node", "to").alias("to"))
-        point = checkpointed(point)
-        step = point.select(F.col("node").alias("to"), F.col("to").alias("next"))
-        for _ in range(2):
-            point = point.join(step, "to").select("node", F.col("next").alias("to"))
-        point = checkpointed(point)
+        point = _ends(checkpointed(point))
         if roots is None:
             roots = point.select("node", F.col("to").alias("root"))
         else:
@@ -41,3 +38,13 @@ def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     if roots is None:
         return left.select(F.col("a").alias("node"), F.col("b").alias("root"))
     return checkpointed(roots)
+
+
+def _ends(point: DataFrame) -> DataFrame:
+    """(node, to) with every pointer followed to its end; rounds grow with the logarithm of the longest way."""
+    while True:
+        hop = point.select(F.col("node").alias("to"), F.col("to").alias("next"))
+        twice = checkpointed(point.join(hop, "to").select("node", F.col("to").alias("before"), F.col("next").alias("to")))
+        point = twice.select("node", "to")
+        if twice.where("before <> to").isEmpty():
+            return point
