@@ -176,3 +176,20 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def is_contaminated():
     """At least a twentieth of the words, and at least one, is hit."""
     return (F.col("n_hit") > 0) & (20 * F.col("n_hit") >= F.col("n_words"))
+
+
+def oracle(window: int = 13) -> str:
+    """DuckDB SQL for :func:`digest` of documents with distinct ids."""
+    upper, lower = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+    words = f"regexp_extract_all(translate(coalesce(text, ''), '{upper}', '{lower}'), '[0-9a-z\\x{{80}}-\\x{{10FFFF}}]+')"
+    return f"""WITH d AS (SELECT doc_id, {words} AS w FROM documents),
+    b AS (SELECT item_id, w, least({window}, len(w)) AS k FROM (SELECT item_id, {words} AS w FROM benchmark) WHERE len(w) > 0),
+    runs AS (SELECT DISTINCT item_id, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS run FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM b)),
+    seen AS (SELECT doc_id, i, k, array_to_string(list_slice(w, i, i + k - 1), ' ') AS run
+      FROM (SELECT *, unnest(range(1, len(w) - k + 2)) AS i FROM d, (SELECT DISTINCT k FROM runs) WHERE len(w) >= k)),
+    hits AS (SELECT doc_id, i, seen.k, item_id FROM seen JOIN runs USING (k, run)),
+    words AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + k)) AS place FROM hits) GROUP BY doc_id),
+    items AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS ids FROM (SELECT DISTINCT doc_id, item_id::VARCHAR AS item FROM hits) GROUP BY doc_id)
+    SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256,
+      coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
+    FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)"""

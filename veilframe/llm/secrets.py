@@ -14,10 +14,8 @@ from pyspark.sql import functions as F
 
 from veilframe.llm.common import name, written
 
-# The base patterns in order, with the least length of what is kept and the group it is measured on.
+# The base pattern of assignments, and the least length of what is kept by kind.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
-ACCESS = r"AKIA[A-Z0-9]+"
-HEX = r"[0-9a-f]+"
 LEAST = {"assign": 8, "access": 16, "hex": 32}
 
 # Maximal runs, so that asking for the least length at once finds the same matches as dropping short ones.
@@ -205,3 +203,28 @@ def redact(
     fixed = F.when(F.col("__spans").isNull(), name(text_col)).otherwise(masked(text, F.col("__spans")))
     dirty = dirty.withColumn(text_col, fixed).select(*[name(c) for c in docs.columns])
     return docs.where(~hit).unionByName(dirty)
+
+
+def oracle(max_owners: int = MAX_OWNERS) -> str:
+    """DuckDB SQL for :func:`digest` of documents with distinct ids, owned by their source."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    live = f"""(regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 10 AND NOT regexp_matches(v, {quoted(PLACEHOLDER)}))"""
+    size = "list_sum(list_transform(list_slice({}, 1, {}), lambda x: length(x)))"
+
+    def found(kind: str, pattern: str, group: int) -> str:
+        start = f"({size.format('gaps', 'i')} + coalesce({size.format('found', 'i - 1')}, 0))::BIGINT"
+        return f"""SELECT doc_id, source, '{kind}' AS kind, {KINDS.index(kind)} AS rank, {start} AS s, {start} + length(found[i]) AS e, v[i] AS v
+        FROM (SELECT *, unnest(range(1, len(found) + 1)) AS i FROM (SELECT doc_id, source, regexp_split_to_array(text, {quoted(pattern)}) AS gaps,
+          regexp_extract_all(text, {quoted(pattern)}) AS found, regexp_extract_all(text, {quoted(pattern)}, {group}) AS v FROM documents WHERE regexp_matches(text, {quoted(pattern)})))"""
+
+    listed = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e)"
+    return f"""WITH base AS (SELECT * FROM ({found("assign", ASSIGN, 2)}) WHERE length(v) >= {LEAST["assign"]}
+      UNION ALL {found("access", ACCESS_LONG, 0)} UNION ALL {found("hex", HEX_LONG, 0)}),
+    bare AS (SELECT * FROM ({found("bare", BARE, 0)}) r WHERE {live} AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')
+      AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = r.doc_id AND base.s < r.e AND r.s < base.e)),
+    owners AS (SELECT v, count(DISTINCT coalesce(source, '')) AS n FROM (SELECT * FROM base UNION ALL SELECT * FROM bare) GROUP BY v),
+    every AS (SELECT * FROM base UNION ALL SELECT bare.* FROM bare JOIN owners USING (v) WHERE n <= {max_owners}),
+    b AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c, count(*) FILTER (kind = 'hex') AS h, {listed} AS l FROM base GROUP BY doc_id),
+    x AS (SELECT doc_id, {listed} AS spans FROM every GROUP BY doc_id)
+    SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(l, '')) AS base_sha256, coalesce(spans, '') AS spans
+    FROM documents LEFT JOIN b USING (doc_id) LEFT JOIN x USING (doc_id)"""
