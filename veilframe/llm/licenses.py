@@ -148,3 +148,34 @@ def licences(
         origin.alias("origin"),
         F.coalesce("file.cosine", "head.cosine", "near.cosine", F.lit(0.0)).alias("cosine"),
     )
+
+
+def oracle(similar: float = SIMILAR) -> str:
+    """DuckDB SQL for :func:`licences` of documents with distinct ids under source/language/id."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    words = lambda x: f"regexp_extract_all(lower({x}), {quoted(WORD)})"
+    known = ", ".join(f"({i}, {quoted(lic)}, {quoted(text)})" for i, (lic, text) in enumerate(TEMPLATES))
+    cut = r"regexp_split_to_array(regexp_replace(text, '([.!?;])\s+', '\1' || chr(10), 'g'), '\n+')"
+    weight = "tf * (ln((1.0 + total) / (1.0 + coalesce(df, 0))) + 1.0)"
+    return f"""WITH known AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest({words("txt")}) AS term FROM (VALUES {known}) t(template, license, txt)) GROUP BY ALL),
+    hinted AS (SELECT doc_id, text, array_to_string({words("text")}, ' ') AS whole FROM documents WHERE regexp_matches(text, {quoted(HINT)})),
+    heads AS (SELECT DISTINCT doc_id, array_to_string({words("x")}, ' ') AS passage FROM (SELECT doc_id, unnest({cut}) AS x FROM hinted) WHERE regexp_matches(x, {quoted(HINT)})),
+    texts AS (SELECT passage, count(*) AS n FROM (SELECT whole AS passage FROM hinted UNION ALL SELECT passage FROM heads) WHERE passage <> '' GROUP BY passage),
+    terms AS (SELECT passage, n, term, count(*) AS tf FROM (SELECT passage, n, unnest(string_split(passage, ' ')) AS term FROM texts) GROUP BY ALL),
+    df AS (SELECT term, sum(n) AS df FROM terms GROUP BY term), total AS (SELECT coalesce(sum(n), 0) AS total FROM texts),
+    x AS (SELECT passage, term, {weight} AS x FROM terms JOIN df USING (term), total),
+    y AS (SELECT template, license, term, {weight} AS y FROM known LEFT JOIN df USING (term), total),
+    xn AS (SELECT passage, sqrt(sum(x * x)) AS xn FROM x GROUP BY passage), yn AS (SELECT template, sqrt(sum(y * y)) AS yn FROM y GROUP BY template),
+    scores AS (SELECT * FROM (SELECT passage, template, license, round(sum(x * y) / (any_value(xn) * any_value(yn)), 9) AS cosine
+      FROM x JOIN y USING (term) JOIN xn USING (passage) JOIN yn USING (template) GROUP BY passage, template, license)
+      WHERE cosine >= {similar} QUALIFY row_number() OVER (PARTITION BY passage ORDER BY cosine DESC, template) = 1),
+    file AS (SELECT doc_id, license, cosine FROM hinted JOIN scores ON whole = passage),
+    head AS (SELECT doc_id, license, cosine FROM heads JOIN scores USING (passage) QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY cosine DESC, template) = 1),
+    d AS (SELECT doc_id, concat_ws('/', source, lang, doc_id) AS path, concat_ws('/', source, lang) AS folder FROM documents),
+    covers AS (SELECT folder AS above, license, cosine FROM d JOIN file USING (doc_id) QUALIFY row_number() OVER (PARTITION BY folder ORDER BY cosine DESC, license) = 1),
+    up AS (SELECT folder, parts, array_to_string(list_slice(string_split(folder, '/'), 1, parts), '/') AS above FROM (SELECT DISTINCT folder FROM d), (SELECT unnest(range(0, 3)) AS parts)),
+    near AS (SELECT folder, license, cosine FROM up JOIN covers USING (above) QUALIFY row_number() OVER (PARTITION BY folder ORDER BY parts DESC) = 1)
+    SELECT d.doc_id, path, coalesce(file.license, head.license, near.license) AS license,
+      CASE WHEN file.license IS NOT NULL THEN 'file' WHEN head.license IS NOT NULL THEN 'header' WHEN near.license IS NOT NULL THEN 'inherited' ELSE 'none' END AS origin,
+      coalesce(file.cosine, head.cosine, near.cosine, 0.0)::DOUBLE AS cosine
+    FROM d LEFT JOIN file USING (doc_id) LEFT JOIN head USING (doc_id) LEFT JOIN near USING (folder)"""

@@ -92,3 +92,4 @@ def op7_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.digest(neighbours.near_duplicates(table(spark, sf_dir, "embeddings")))
 ORACLES["op8_secrets"] = secrets.oracle()
 ORACLES["op9_decontamination"] = decontaminate.oracle()
+ORACLES["op5_licences"] = licenses.oracle()
