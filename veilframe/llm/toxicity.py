@@ -10,6 +10,7 @@ from __future__ import annotations
 import math
 import re
 from array import array
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -104,9 +105,9 @@ def _softplus(z: float) -> float:
     return z + math.log1p(math.exp(-z)) if z > 0 else math.log1p(math.exp(z))
 
 
-def fit(texts: list[str], labels: list[int], epochs: int = EPOCHS) -> Model:
+def fit(texts: Iterable[str], labels: list[int], epochs: int = EPOCHS) -> Model:
     """Maximise the likelihood of (partly wrong) document labels under the noisy-or, by Adam over all documents."""
-    if not texts or not any(labels):
+    if not any(labels):
         return Model()
     words: dict[str, int] = {}
     counts, columns, lengths, owners = array("i"), array("i"), array("i"), array("i")
@@ -188,7 +189,14 @@ def train(
         size += len(text)
         x.append(text)
         y.append(int(row["y"] > 0))
-    return fit(x, y)
+    return fit(_drained(x), y)
+
+
+def _drained(texts: list[str]) -> Iterator[str]:
+    """The texts, let go one by one: fitting needs their words only."""
+    for i, text in enumerate(texts):
+        texts[i] = ""
+        yield text
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:
