@@ -12,11 +12,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm import decontaminate, packing, secrets, simhash, toxicity
+from veilframe.llm import decontaminate, packing, secrets, similar, toxicity
 from veilframe.llm.common import name, written
 from veilframe.llm.queries import table, tokenizer, toxicity_model
 
-DEDUP_BITS = 4  # wider than the two bits of the plain query: one changed word moves about two
+DEDUP_BITS = 4  # of fingerprints that only propose pairs; the five-word shingles decide
 
 
 def _judged(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], fields, keep) -> DataFrame:
@@ -34,13 +34,13 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates.
+    """The document with the smallest id of each group of near-duplicates: a similarity of 0.8 in five-word shingles.
 
     Of several rows of that id one stays. Rows without an id stay unless a row
     with an id is in their group.
     """
-    found = simhash.near_duplicates(docs, budget=DEDUP_BITS)
-    lost = found.where("id is null").select("simhash", "component_id")
+    found = similar.near_duplicates(docs, budget=DEDUP_BITS)
+    lost = found.where("id is null").select("key", "component_id")
     ids = found.where("id is not null").groupBy("id").agg(F.max((F.col("id") == F.col("component_id")).cast("int")).alias("kept"), F.count(F.lit(1)).alias("n"))
     ids = written(ids.where("kept = 0 or n > 1"), "copies")
     twice = ids.where("kept = 1").select(F.col("id").alias("__id"))
@@ -50,9 +50,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     out = once.unionByName(first)
     if lost.where("component_id is null").isEmpty():
         return out
-    nameless = simhash.with_fingerprints(docs.where("doc_id is null").withColumn("__text", F.col("text")), "__text", keep_text=False)
-    free = lost.where("component_id is null").select(F.col("simhash").alias("__free")).distinct()
-    return out.unionByName(nameless.join(free, F.col("simhash") == F.col("__free"), "left_semi").select(*[name(c) for c in docs.columns]))
+    nameless = docs.where("doc_id is null").select(F.struct(*[name(c) for c in docs.columns]).alias("__row"), F.col("text").alias("__text"))
+    free = lost.where("component_id is null").select(F.col("key").alias("__free")).distinct()
+    nameless = similar.with_keys(nameless, "__text").join(free, F.col("key") == F.col("__free"), "left_semi").select("__row.*")
+    return out.unionByName(nameless.select(*[name(c) for c in docs.columns]))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
