@@ -89,6 +89,36 @@ def test_counts_over_several_blocks(spark, monkeypatch):
     check_links({r.vec_id: r for r in neighbours.digest(neighbours.near_duplicates(frame)).collect()}, list(range(100)), data)
 
 
+def two_groups(rng, size, dims=64):
+    """Tight groups whose cross pairs all reach the threshold, among other vectors."""
+    a, b = rng.standard_normal(dims), rng.standard_normal(dims)
+    a /= np.linalg.norm(a)
+    b -= (a @ b) * a
+    b /= np.linalg.norm(b)
+    centres = [a, 0.957 * a + np.sqrt(1 - 0.957**2) * b]
+    rows = [c + 0.0002 * rng.standard_normal(dims) for c in centres for _ in range(size)]
+    return [r.tolist() for r in rows] + [rng.standard_normal(dims).tolist() for _ in range(400)]
+
+
+def test_full_lists_do_not_part_groups(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "ROUNDS", 1)
+    monkeypatch.setattr(neighbours, "_across", lambda nodes, *_: nodes.selectExpr("node as a", "node as b").limit(0), raising=False)
+    data = two_groups(np.random.default_rng(3), 60)
+    frame = spark.createDataFrame(list(enumerate(data)), "vec_id long, embedding array<double>")
+    check_links({r.vec_id: r for r in neighbours.digest(neighbours.near_duplicates(frame)).collect()}, list(range(len(data))), data)
+
+
+def test_a_low_audit_is_made_up_exactly(spark, monkeypatch):
+    monkeypatch.setattr(neighbours, "_recall", lambda *_: 0.0)
+    monkeypatch.setattr(neighbours, "ROUNDS", 1)
+    monkeypatch.setattr(neighbours, "CHUNK", 150)
+    monkeypatch.setattr(neighbours, "_bonds", lambda *_: (np.zeros(0, np.int64),) * 2)
+    data = two_groups(np.random.default_rng(4), 60)
+    frame = spark.createDataFrame(list(enumerate(data)), "vec_id long, embedding array<double>")
+    with pytest.warns(UserWarning, match="all vectors are compared"):
+        check_links({r.vec_id: r for r in neighbours.digest(neighbours.near_duplicates(frame)).collect()}, list(range(len(data))), data)
+
+
 def test_neighbours_of_nothing(spark):
     assert neighbours.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

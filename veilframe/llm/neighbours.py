@@ -5,12 +5,15 @@ every vector introduces its neighbours (and those it is a neighbour of) to one
 another, and lists keep the best. A list whose entries all reach the threshold is
 saturated and gets longer. Pairs that reach the threshold are edges; their
 components are audited against brute force for a fixed number of vectors, and
-rounds go on until the recall is high. What a saturated list could not hold is
-then made up exactly: within a component, links are counted block by block.
+rounds go on until the recall is high; if it stays low, all vectors are compared.
+Links that no list has room for are not lost: each block compared gives a forest
+of all its links besides the entries. Within a component, links are counted
+exactly, block by block.
 """
 
 from __future__ import annotations
 
+import itertools
 import math
 import warnings
 from collections.abc import Iterator
@@ -35,7 +38,8 @@ ROUNDS = 6
 BLOCK = 1024  # vectors of a block when links inside a component are counted
 SLACK = 1e-6  # single precision of the search; edges are checked in double precision
 
-PAIRS = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType()), T.StructField("s", T.FloatType())])
+PAIRS = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType()), T.StructField("s", T.FloatType()), T.StructField("bond", T.BooleanType())])
+CHUNK = 4096  # vectors compared with all others at a time when the audit stays low
 
 
 def usable(vector: Column) -> Column:
@@ -86,6 +90,33 @@ def _nodes(vectors: DataFrame) -> DataFrame:
     return written(numbered.mapInArrow(pack, T.StructType([*numbered.schema.fields, T.StructField("vec", T.BinaryType())])), "vectors")
 
 
+def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): a spanning forest of a symmetric matrix of links."""
+    i, j = [], []
+    fresh = near.any(axis=1)
+    while fresh.any():
+        front = np.flatnonzero(fresh)[:1]
+        fresh[front] = False
+        while len(front):
+            met = near[front] & fresh
+            to = np.flatnonzero(met.any(axis=0))
+            i.append(front[met[:, to].argmax(axis=0)])
+            j.append(to)
+            fresh[to] = False
+            front = to
+    return (np.concatenate(i), np.concatenate(j)) if i else (np.zeros(0, np.int64),) * 2
+
+
+def _bonds(sim: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
+    """(i, j): what links the vectors of a block whatever their lists hold.
+
+    A forest of the sure links; pairs that single precision leaves open are all given.
+    """
+    i, j = _forest(sim >= threshold + SLACK)
+    a, b = np.nonzero(np.triu(np.abs(sim - threshold) < SLACK, 1))
+    return np.concatenate([i, a]), np.concatenate([j, b])
+
+
 # ---- first lists --------------------------------------------------------------
 def _leaves(nodes: DataFrame, dims: int, n: int, trees: int, seed: int) -> DataFrame:
     """(tree, code, part, node, vec): every vector in one leaf of each tree."""
@@ -106,11 +137,13 @@ def _leaves(nodes: DataFrame, dims: int, n: int, trees: int, seed: int) -> DataF
     return rows.join(sizes, ["tree", "code"]).select("tree", "code", part.alias("part"), "node", "vec")
 
 
-def _leaf_pairs(leaves: DataFrame, dims: int, size: int) -> DataFrame:
+def _leaf_pairs(leaves: DataFrame, dims: int, size: int, threshold: float) -> DataFrame:
+    """The best pairs of each leaf, and a forest of all its links."""
+
     def work(table: pa.Table, groups: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
         nodes = table.column("node").to_numpy()
         unit = _unit(_matrix(table.column("vec"), dims))
-        u, v, s = [], [], []
+        u, v, s, bond = [], [], [], []
         for lo, hi in groups:
             if hi - lo < 2:
                 continue
@@ -121,23 +154,34 @@ def _leaf_pairs(leaves: DataFrame, dims: int, size: int) -> DataFrame:
             u.append(np.repeat(nodes[lo:hi], k))
             v.append(nodes[lo + best.ravel()])
             s.append(np.take_along_axis(sim, best, 1).ravel())
+            bond.append(np.zeros(best.size, bool))
+            i, j = _bonds(sim, threshold)
+            u.append(nodes[lo + i])
+            v.append(nodes[lo + j])
+            s.append(sim[i, j])
+            bond.append(np.ones(len(i), bool))
         if u:
-            yield _batch([np.concatenate(x) for x in (u, v, s)], PAIRS)
+            yield _batch([np.concatenate(x) for x in (u, v, s, bond)], PAIRS)
 
     return map_groups(leaves, ["tree", "code", "part"], work, PAIRS)
 
 
-def _best(pairs: DataFrame, size: int, longer: int, threshold: float) -> DataFrame:
-    """The lists: ``size`` best entries each, and up to ``longer`` where all reach the threshold."""
-    once = pairs.groupBy("u", "v").agg(F.max("s").alias("s"))
+def _best(pairs: DataFrame, size: int, longer: int, threshold: float) -> tuple[DataFrame, DataFrame]:
+    """The lists, and the bonds: ``size`` best entries each, up to ``longer`` where all reach the threshold.
+
+    Bonds are kept whether or not a list has room for them.
+    """
+    once = pairs.groupBy("u", "v").agg(F.max("s").alias("s"), F.max("bond").alias("bond"))
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("s"), "v"))
-    kept = once.withColumn("rank", rank).where((F.col("rank") <= longer) & ((F.col("rank") <= size) | (F.col("s") >= threshold - SLACK)))
-    return checkpointed(kept.drop("rank"))
+    listed = (F.col("rank") <= longer) & ((F.col("rank") <= size) | (F.col("s") >= threshold - SLACK))
+    kept = once.withColumn("rank", rank).withColumn("listed", listed).where("listed or bond")
+    kept = checkpointed(kept.drop("rank"))
+    return kept.where("listed").select("u", "v", "s", F.lit(False).alias("bond")), kept.where("bond").select("u", "v", "s", "bond")
 
 
 # ---- neighbours of neighbours ----------------------------------------------------
-def _introduced(lists: DataFrame, nodes: DataFrame, dims: int, size: int, longer: int) -> DataFrame:
-    """Pairs met through a common neighbour that are better than the worst entry of either list."""
+def _introduced(lists: DataFrame, nodes: DataFrame, dims: int, size: int, longer: int, threshold: float) -> DataFrame:
+    """Pairs met through a common neighbour that are better than the worst entry of either list, and a forest of all links met."""
     near = Window.partitionBy("v").orderBy(F.xxhash64("u"))
     back = lists.withColumn("k", F.row_number().over(near)).where(F.col("k") <= longer).select(F.col("v").alias("centre"), F.col("u").alias("node"))
     members = lists.select(F.col("u").alias("centre"), F.col("v").alias("node")).unionByName(back)
@@ -150,24 +194,26 @@ def _introduced(lists: DataFrame, nodes: DataFrame, dims: int, size: int, longer
     def work(table: pa.Table, groups: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
         ids, least = table.column("node").to_numpy(), table.column("least").to_numpy()
         unit = _unit(_matrix(table.column("vec"), dims))
-        u, v, s = [], [], []
+        u, v, s, bond = [], [], [], []
         for lo, hi in groups:
             sim = unit[lo:hi] @ unit[lo:hi].T
             np.fill_diagonal(sim, -3)
             i, j = np.nonzero(sim > least[lo:hi, None])
-            if len(i):
-                u.append(ids[lo + i])
-                v.append(ids[lo + j])
-                s.append(sim[i, j])
+            more_i, more_j = _bonds(sim, threshold)
+            bond.append(np.arange(len(i) + len(more_i)) >= len(i))
+            i, j = np.concatenate([i, more_i]), np.concatenate([j, more_j])
+            u.append(ids[lo + i])
+            v.append(ids[lo + j])
+            s.append(sim[i, j])
         if u:
-            yield _batch([np.concatenate(x) for x in (u, v, s)], PAIRS)
+            yield _batch([np.concatenate(x) for x in (u, v, s, bond)], PAIRS)
 
     return map_groups(rows, ["centre"], work, PAIRS)
 
 
 # ---- edges, audit, counts ----------------------------------------------------------
 def _edges(lists: DataFrame, nodes: DataFrame, dims: int, threshold: float) -> DataFrame:
-    """(a, b): entries of the lists that reach the threshold in double precision."""
+    """(a, b): entries of the lists and bonds that reach the threshold in double precision."""
     close = lists.where(F.col("s") >= threshold - SLACK).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
     left = nodes.select(F.col("node").alias("a"), F.col("vec").alias("x"))
     right = nodes.select(F.col("node").alias("b"), F.col("vec").alias("y"))
@@ -207,6 +253,39 @@ def _recall(nodes: DataFrame, roots: DataFrame, dims: int, threshold: float) ->
     return row["found"] / row["n"] if row["n"] else 1.0
 
 
+def _across(nodes: DataFrame, roots: DataFrame, dims: int, threshold: float) -> DataFrame:
+    """(a, b): exact links between components; all vectors are compared, ``CHUNK`` with all others at a time.
+
+    A batch gives one link for each pair of components.
+    """
+    rooted = nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "vec")
+    rooted = written(rooted, "rooted")
+    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    links = None
+
+    def against(ids: np.ndarray, own: np.ndarray, vectors: np.ndarray) -> DataFrame:
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    root = batch.column("root").to_numpy()
+                    i, j = np.nonzero((_cosines(_matrix(batch.column("vec"), dims), vectors) >= threshold) & (root[:, None] != own))
+                    one = np.unique(np.stack([root[i], own[j]]), axis=1, return_index=True)[1]
+                    yield _batch([batch.column("node").to_numpy()[i[one]], ids[j[one]]], schema)
+
+        return checkpointed(rooted.mapInArrow(compare, schema))
+
+    held = []
+    for row in itertools.chain(rooted.toLocalIterator(), [None]):
+        if row is not None:
+            held.append(row)
+        if held and (row is None or len(held) == CHUNK):
+            ids, own = (np.array([r[c] for r in held], np.int64) for c in ("node", "root"))
+            found = against(ids, own, np.frombuffer(b"".join(bytes(r["vec"]) for r in held), np.float64).reshape(-1, dims))
+            links = found if links is None else links.unionByName(found)
+            held = []
+    return links.distinct()
+
+
 def _counts(nodes: DataFrame, roots: DataFrame, dims: int, threshold: float) -> DataFrame:
     """(node, n): rows linked with each vector of a component, found by comparing its blocks pair by pair."""
     inside = roots.join(nodes.select("node", "vec", "copies"), "node")
@@ -250,22 +329,23 @@ def _counts(nodes: DataFrame, roots: DataFrame, dims: int, threshold: float) ->
 def _linked(vectors: DataFrame, dims: int, threshold: float, seed: int) -> DataFrame:
     nodes = _nodes(vectors)
     n = nodes.count()
-    lists = _best(_leaf_pairs(_leaves(nodes, dims, n, TREES, seed), dims, LIST), LIST, 2 * LIST, threshold)
+    lists, bonds = _best(_leaf_pairs(_leaves(nodes, dims, n, TREES, seed), dims, LIST, threshold), LIST, 2 * LIST, threshold)
     edges, recall = None, 0.0
     for k in range(ROUNDS):
         longer = LIST << min(k + 1, 4)
-        met = _introduced(lists, nodes, dims, LIST, longer)
-        lists = _best(lists.unionByName(met), LIST, longer, threshold)
-        found = _edges(lists, nodes, dims, threshold)
+        met = _introduced(lists, nodes, dims, LIST, longer, threshold)
+        if k:
+            met = met.unionByName(_leaf_pairs(_leaves(nodes, dims, n, TREES, seed + k), dims, LIST, threshold))
+        lists, more = _best(lists.unionByName(met), LIST, longer, threshold)
+        found = _edges(lists.unionByName(more) if k else lists.unionByName(more).unionByName(bonds), nodes, dims, threshold)
         edges = checkpointed(found if edges is None else edges.unionByName(found).distinct())
         roots = components(edges)
         recall = _recall(nodes, roots, dims, threshold)
         if recall >= RECALL:
             break
-        fresh = _leaf_pairs(_leaves(nodes, dims, n, TREES, seed + k + 1), dims, LIST)
-        lists = _best(lists.unionByName(fresh), LIST, longer, threshold)
-    if recall < 0.9:
-        warnings.warn(f"the audited recall of near-duplicate vectors is {recall:.3f}", stacklevel=2)
+    if recall < RECALL:
+        warnings.warn(f"the audited recall of near-duplicate vectors is {recall:.3f}; all vectors are compared", stacklevel=2)
+        roots = components(edges.unionByName(_across(nodes, roots, dims, threshold)))
     counts = _counts(nodes, roots, dims, threshold)
     joined = nodes.join(roots, "node", "left").join(counts, "node", "left")
     joined = joined.withColumn("root", F.coalesce("root", "node"))
