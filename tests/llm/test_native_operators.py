@@ -162,6 +162,21 @@ def test_licences(spark):
     assert licenses.licences(docs.limit(0), F.col("path")).count() == 0
 
 
+def test_whole_licence_files_and_wrapped_headers(spark):
+    gnu = ["This program is free software: you can redistribute it and/or modify", "it under the terms of the GNU General Public License as published by", "the Free Software Foundation, either version 3 of the License, or", "(at your option) any later version."]
+    apache = ['Licensed under the Apache License, Version 2.0 (the "License");', "you may not use this file except in compliance with the License.", "You may obtain a copy of the License at", "", "    http://www.apache.org/licenses/LICENSE-2.0"]
+    full = dict(licenses.full_texts())
+    rows = [(f"{lic}/LICENSE", text.replace("Copyright (c)", "Copyright (c) 2020 Jane Roe")) for lic, text in full.items()]
+    rows += [(f"{lic}/src/x.py", "print(1)") for lic in full]
+    rows += [("p/a.py", "\n".join(["#!/bin/sh", "# tool", "#", *("# " + x for x in gnu), "import os", "x = 1"]))]
+    rows += [("p/b.c", "\n".join(["/*", *(" * " + x for x in apache), " */", "int main() {}"]))]
+    docs = spark.createDataFrame([(i, p, t) for i, (p, t) in enumerate(rows)], "doc_id long, path string, text string")
+    got = {r.path: (r.license, r.origin) for r in licenses.licences(docs, F.col("path")).collect()}
+    for lic in full:
+        assert got[f"{lic}/LICENSE"] == (lic, "file") and got[f"{lic}/src/x.py"] == (lic, "inherited")
+    assert got["p/a.py"] == ("GPL-3.0", "header") and got["p/b.c"] == ("Apache-2.0", "header")
+
+
 def test_licence_cosine_against_brute_force(spark):
     texts = ["Licensed under CC BY 4.0.", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY-NC 4.0.", "This file is licensed under the GNU GPL license v3"]
     docs = spark.createDataFrame([(i, f"d{i}/f", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")

@@ -1,6 +1,6 @@
 """Licence scans in DataFrame functions alone.
 
-Licence-like sentences of a document, and the whole text of documents that have
+Licence-like sentences and comment blocks of a document, and the whole text of documents that have
 one, are compared with templates by the cosine of sparse TF-IDF vectors. A text
 that as a whole is a template is a licence file and covers its directory; other
 documents take the licence of the nearest directory above them that has one.
@@ -8,6 +8,9 @@ documents take the licence of the nearest directory above them that has one.
 
 from __future__ import annotations
 
+import re
+from pathlib import Path
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,7 +32,24 @@ TEMPLATES = [
     ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
     ("CC0-1.0", "Dedicated to the public domain under CC0 1.0 Universal."),
 ]
+# Standard headers of source files, a paragraph each.
+GNU = "This {} is free software; you can redistribute it and/or modify it under the terms of the GNU {}General Public License as published by the Free Software Foundation; either version {} of the License, or (at your option) any later version."
+HEADERS = [
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at'),
+    ("Apache-2.0", 'Licensed under the Apache License, Version 2.0 (the "License"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.'),
+    ("GPL-3.0", GNU.format("program", "", "3")),
+    ("GPL-2.0", GNU.format("program", "", "2")),
+    ("LGPL-3.0", GNU.format("library", "Lesser ", "3")),
+    ("LGPL-2.1", GNU.format("library", "Lesser ", "2.1")),
+    ("AGPL-3.0", GNU.format("program", "Affero ", "3")),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/."),
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the Software), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions:"),
+]
+LEADER = r"(?m)^[ \t]*(?://+|/\*+|\*+/?|#+|;+|--+|%+|dnl\b|<!--)(.*)$"
+MARK = "\x01"
+PARAGRAPH = r"\n[\x01\s]*\n|\x01\n(?!\x01)|(?<!\x01)\n\x01"
 HINT = r"(?i)licen[sc]e|copyright|spdx|public domain|permission is hereby|redistribution and use"
+WRAPPED = r"(?i)free software|source code form"  # begins a header whose licence words may be wrapped
 SENTENCE = r"\n+|(?<=[.!?;])\s+"
 WORD = r"[a-z0-9]+(?:[.-][a-z0-9]+)*"
 SIMILAR = 0.8
@@ -39,9 +59,18 @@ def _words(text: Column) -> Column:
     return F.regexp_extract_all(F.lower(text), F.lit(WORD), F.lit(0))
 
 
+def full_texts() -> list[tuple[str, str]]:
+    """(license, text) of whole licence files. The Affero text is the GNU one under its own name."""
+    folder = Path(__file__).parent / "licence_texts"
+    texts = [(path.stem, path.read_text()) for path in sorted(folder.glob("*.txt"))]
+    named = [("AGPL-3.0", re.sub("(?i)GNU (?=General)", "GNU Affero ", text)) for lic, text in texts if lic == "GPL-3.0"]
+    two = [("BSD-2-Clause", re.sub(r"(?s)3\. Neither.*?permission\.\s", "", text)) for lic, text in texts if lic == "BSD-3-Clause"]
+    return texts + named + two
+
+
 def templates(spark: SparkSession) -> DataFrame:
     """(template, license, words); a table of fixed size."""
-    rows = spark.createDataFrame([(i, lic, text) for i, (lic, text) in enumerate(TEMPLATES)], "template int, license string, text string")
+    rows = spark.createDataFrame([(i, lic, text) for i, (lic, text) in enumerate(TEMPLATES + HEADERS + full_texts())], "template int, license string, text string")
     return rows.select("template", "license", _words(F.col("text")).alias("words"))
 
 
@@ -57,24 +86,27 @@ def ancestors(folder: Column) -> Column:
 
 
 def passages(docs: DataFrame, id_col: str, text_col: str, path: Column) -> DataFrame:
-    """(id, path, sentences, whole, key) of every row, written; words stay only where there is a hint.
+    """(id, path, sentences, blocks, whole, key) of every row, written; words stay only where there is a hint.
 
     ``key`` is the MD5 of ``whole``: what follows carries keys and not texts.
     """
     text = F.coalesce(name(text_col).cast("string"), F.lit(""))
     hint = text.rlike(HINT)
     sentences = F.filter(F.split(text, SENTENCE), lambda s: s.rlike(HINT))
+    marked = F.regexp_replace(F.regexp_replace(text, "\r", ""), LEADER, f"{MARK}$1{MARK}")
+    blocks = F.filter(F.split(marked, PARAGRAPH), lambda s: s.rlike(HINT) | s.rlike(WRAPPED))
     rows = docs.select(
         name(id_col).alias("id"),
         F.coalesce(path.cast("string"), F.lit("")).alias("path"),
         F.when(hint, F.array_distinct(F.transform(sentences, lambda s: F.array_join(_words(s), " ")))).alias("sentences"),
+        F.when(hint, F.array_distinct(F.transform(blocks, lambda s: F.array_join(_words(s), " ")))).alias("blocks"),
         F.when(hint, F.array_join(_words(text), " ")).alias("whole"),
     )
     return written(rows.withColumn("key", F.md5("whole")), "licences")
 
 
 def _scores(spark: SparkSession, texts: DataFrame) -> DataFrame:
-    """(passage, template, license, cosine): the best template of each distinct passage.
+    """(passage, header, template, license, cosine): the best template of each distinct passage, headers apart.
 
     ``texts`` has (passage, words, n): the keys of distinct passages, their words
     and in how many rows each occurs. Document frequencies count all these rows, so a copied passage weighs
@@ -95,7 +127,9 @@ def _scores(spark: SparkSession, texts: DataFrame) -> DataFrame:
     dots = x.join(y, "term").groupBy("passage", "template", "license", "y_norm").agg(F.sum(F.col("x") * F.col("y")).alias("dot"))
     cosine = F.round(F.col("dot") / (F.col("x_norm") * F.col("y_norm")), 9)
     scored = dots.join(x_norm, "passage").select("passage", F.struct(cosine.alias("cosine"), (-F.col("template")).alias("order"), "template", "license").alias("best"))
-    return scored.groupBy("passage").agg(F.max("best").alias("best")).select("passage", "best.template", "best.license", "best.cosine")
+    header = F.col("best.template").between(len(TEMPLATES), len(TEMPLATES) + len(HEADERS) - 1)
+    best = scored.groupBy("passage", header.alias("header")).agg(F.max("best").alias("best"))
+    return best.select("passage", "header", "best.template", "best.license", "best.cosine")
 
 
 def licences(
@@ -108,7 +142,7 @@ def licences(
     """(id, path, license, origin, cosine) of every row.
 
     ``origin`` is ``file`` (the whole text is like a template), ``header`` (a
-    sentence is), ``inherited`` (from the nearest directory above with a licence
+    sentence or a paragraph of a comment is), ``inherited`` (from the nearest directory above with a licence
     file) or ``none``. Of several sentences the most similar counts, then the
     earlier template. Of several licence files in a directory the most similar
     counts, then the licence first by name.
@@ -123,12 +157,15 @@ def licences(
     hinted = rows.where("whole is not null and whole <> ''")
     files = hinted.select(F.col("key").alias("passage"), F.col("whole").alias("words"))
     heads = hinted.select(F.explode("sentences").alias("words")).where("words <> ''").select(F.md5("words").alias("passage"), "words")
-    texts = files.unionByName(heads).groupBy("passage").agg(F.min("words").alias("words"), F.count(F.lit(1)).alias("n"))
+    blocks = hinted.select(F.explode("blocks").alias("words")).where("words <> ''").select(F.md5("words").alias("passage"), "words")
+    # Blocks repeat words of the files, so they are compared but not counted.
+    texts = files.unionByName(heads).withColumn("one", F.lit(1)).unionByName(blocks.withColumn("one", F.lit(0)))
+    texts = texts.groupBy("passage").agg(F.min("words").alias("words"), F.sum("one").alias("n"))
     scores = written(_scores(spark, texts).where(F.col("cosine") >= similar), "licence-scores")
 
-    whole = scores.select(F.col("passage").alias("key"), F.struct(F.col("cosine"), F.col("license")).alias("file"))
+    whole = scores.where("not header").select(F.col("passage").alias("key"), F.struct(F.col("cosine"), F.col("license")).alias("file"))
     sentence = scores.select("passage", F.struct(F.col("cosine"), (-F.col("template")).alias("order"), F.col("license")).alias("head"))
-    pairs = hinted.select("key", F.explode("sentences").alias("words")).select("key", F.md5("words").alias("passage")).distinct()
+    pairs = hinted.select("key", F.explode(F.array_union("sentences", "blocks")).alias("words")).select("key", F.md5("words").alias("passage")).distinct()
     heads_of = pairs.join(sentence, "passage").groupBy("key").agg(F.max("head").alias("head"))
     own = whole.join(heads_of, "key", "full").select("key", "file", "head")
     found = rows.select("id", "path", directory_of(F.col("path")).alias("folder"), "key").join(own, "key", "left")
