@@ -4,13 +4,14 @@ import hashlib
 import math
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe.llm import chat, licenses, secrets, sharding
+from veilframe.llm import chat, licenses, lists, secrets, sharding
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 LIVE = "Ab3xYz9QwErTy7UiOpLk2"
@@ -226,3 +227,120 @@ def test_long_reply_chains_and_repeats(spark):
     out = chat.format_chat(frame).collect()
     assert len(out) == 43 and all((r.root_turn, r.depth, r.content) == (0, r.turn, f"message {r.turn}") for r in out)
     assert chat.format_chat(frame.limit(0)).count() == 0
+
+
+def brute_chat(rows):
+    """Parents by the rules in plain Python: {(conv, turn): (parent, root, depth)} of distinct turns."""
+    clean = lambda t: re.sub(r"\s+", " ", t.lower()).strip(" ")
+    level = lambda x: m.group(1).count(">") if (m := re.match(r"([ \t>]*>)[ \t]?", x)) else 0
+    body = lambda x: re.sub(r"^([ \t>]*>)[ \t]?", "", x)
+    own, asked = {}, {}
+    for conv, turn, _, text in rows:
+        lines = (text or "").split("\n")
+        levels = [level(x) for x in lines] + [0]
+        if not any(levels):
+            own[conv, turn] = text or ""
+            continue
+        kept = [x for i, x in enumerate(lines) if not levels[i] and not (levels[i + 1] and re.match(chat.ATTRIBUTION, x))]
+        own[conv, turn] = "\n".join(kept).strip()
+        found, block = set(), {}
+        for x, n in zip([*lines, ""], levels, strict=True):
+            if n:
+                block.setdefault(n, []).append(body(x))
+                continue
+            for k, said in block.items():
+                found |= {(k, 1, clean("\n".join(said)))} | {(k, 0, clean(s)) for s in said}
+            block = {}
+        asked[conv, turn] = {f for f in found if f[2]}
+    first = {}
+    for (conv, turn), text in sorted(own.items()):
+        for unit in {clean(u) for u in [text, *re.split(r"\n[ \t]*\n", text), *text.split("\n")]} - {""}:
+            first.setdefault((conv, unit), turn)
+    parent = {}
+    for (conv, turn), found in asked.items():
+        met = [(-k, whole, first[conv, u]) for k, whole, u in found if first.get((conv, u), turn) < turn]
+        if met:
+            parent[conv, turn] = max(met)[2]
+    out = {}
+    for conv, turn in own:
+        root, depth = turn, 0
+        while (conv, root) in parent:
+            root, depth = parent[conv, root], depth + 1
+        out[conv, turn] = (parent.get((conv, turn)), root, depth, own[conv, turn])
+    return out
+
+
+def test_chat_against_brute_force(spark):
+    rng = random.Random(5)
+    said = ["Hello there.", "How do I sort a list?", "Use  sorted().", "It is stable.", "Thanks!", "", "On Monday A wrote:", "no idea"]
+    rows = []
+    for conv in range(12):
+        texts = []
+        for turn in range(12):
+            lines = [rng.choice(said) + (f" {rng.randrange(6)}" if rng.random() < 0.5 else "") for _ in range(rng.randint(0, 4))]
+            for _ in range(rng.randint(0, 2) if texts else 0):
+                depth = rng.choice([">", "> ", ">> ", "> > ", " >>>", "\t> "])
+                quoted = [depth + x.replace(" ", rng.choice([" ", "  "])) for x in rng.choice(texts).split("\n")][: rng.randint(1, 4)]
+                at = rng.randint(0, len(lines))
+                lines[at:at] = quoted
+            texts.append("\n".join(lines))
+            rows.append((conv, turn, "user", texts[-1]))
+    out = chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()
+    got = {(r.conv_id, r.turn): (r.parent_turn, r.root_turn, r.depth, r.content) for r in out}
+    want = brute_chat(rows)
+    assert got == want and sum(w[0] is not None for w in want.values()) > 40 and max(w[2] for w in want.values()) > 2
+
+
+def test_very_long_texts_end_in_seconds(spark):
+    n = 100_000
+    lines = "\n".join(f"> line {i}" for i in range(n))
+    rows = [
+        (1, 0, "user", "\n".join(f"line {i}" for i in range(n))),
+        (1, 1, "user", lines),
+        (1, 2, "user", ">" * n + " deep\nmore"),
+        (1, 3, "user", "\n".join(">" * (1 + i % 300) + f" x{i}" for i in range(4000)) + "\nend"),
+        (1, 4, "user", "a" + " " * n + "\n> line 7\n" + " " * n + "b"),
+    ]
+    began = time.perf_counter()
+    out = {r.turn: r for r in chat.format_chat(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).collect()}
+    assert {t: (r.parent_turn, r.depth) for t, r in out.items()} == {0: (None, 0), 1: (0, 1), 2: (None, 0), 3: (None, 0), 4: (0, 1)}
+    assert out[1].content == "" and out[2].content == "more" and out[3].content == "end" and len(out[4].content) == 2 * n + 3
+    dotted = "license " + "a1" + ".a1" * n
+    files = spark.createDataFrame([(1, "a/x", dotted), (2, "a/y", "license" + "!" * n + "\n" * n)], "doc_id long, path string, text string")
+    assert [r.origin for r in licenses.licences(files, F.col("path")).orderBy("id").collect()] == ["none", "none"]
+    rng = random.Random(6)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    word = lambda: "".join(rng.choices(letters, k=22)) + "zQ7"
+    text = " ".join(rng.choice([f"token={word()}", word(), word(), "é"]) for _ in range(n))
+    docs = spark.createDataFrame([(1, text, "s"), (2, "aB3dE5gH7jK9" * n, "s")], "doc_id long, text string, source string")
+    found = {r.doc_id: r for r in secrets.digest(secrets.secrets(docs, owner=F.col("source"), repo=F.col("source"))).collect()}
+    want = brute_spans(text)
+    assert found[1].base_sha256 == hashlib.sha256(listed(want).encode()).hexdigest() and found[1].n_assign == len(want)
+    bare = [s.split(":") for s in found[1].spans.split(",") if s.startswith("bare")]
+    covered = [m.span() for m in re.finditer(secrets.BARE, text) if "=" not in text[max(0, m.start() - 1) : m.start()] and re.search("[0-9]", m.group())]
+    assert {(int(a), int(b)) for _, a, b in bare} <= set(covered) and len(bare) > 0.9 * len(covered)
+    out = {r.doc_id: r.text for r in secrets.redact(docs, owner=F.col("source"), repo=F.col("source")).collect()}
+    at, parts = 0, []
+    for a, b in sorted([(a, b) for a, _, b, _ in want] + [(int(a), int(b)) for _, a, b in bare]):
+        parts += [text[at:a], "[SECRET]"]
+        at = b
+    assert out[1] == "".join(parts) + text[at:]
+    shards = sharding.assign(docs, limit=10_000).collect()
+    assert {r.shard_bytes for r in shards} == {r.bytes for r in shards}
+    assert time.perf_counter() - began < 120
+
+
+def test_running_totals_and_pieces(spark):
+    rng = random.Random(7)
+    for n in (0, 1, 127, 128, 129, 700):
+        values = [rng.randrange(9) for _ in range(n)]
+        frame = spark.createDataFrame([(values, "é日x" * n)], "v array<int>, t string")
+        sums, piece = frame.select(lists.running_sum(F.col("v")), lists.let(lists.chunks(F.col("t")), lambda c: lists.between(c, F.lit(n), F.lit(3 * n)))).first()
+        assert sums == [sum(values[:i]) for i in range(n)] and (piece or "") == ("é日x" * n)[n:]
+
+
+def test_runs_of_one_case_are_found_by_their_turns(spark):
+    keys = ["550e8400-e29b-41d4-a716-44665544abcd", "k3j4h5g6f7d8s9a1p2o3x", "QX4RT7YU2WE9KL1MN5BV", "wiki/list-of-things-from-2020", "0123456789012345678901234"]
+    docs = spark.createDataFrame([(i, f"see {k} here", "s") for i, k in enumerate(keys)], "doc_id long, text string, source string")
+    got = {r.doc_id: r.spans for r in secrets.digest(secrets.secrets(docs, owner=F.col("source"), repo=F.col("source"))).collect()}
+    assert [got[i] != "" for i in range(5)] == [True, True, True, False, False]

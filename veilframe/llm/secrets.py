@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.common import name, written
+from veilframe.llm.lists import between, chunks, let, running, running_sum
 
 # The base pattern of assignments, and the least length of what is kept by kind.
 ASSIGN = r"""(?i)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
@@ -23,56 +24,83 @@ ACCESS_LONG = r"AKIA[A-Z0-9]{12,}"
 HEX_LONG = r"[0-9a-f]{32,}"
 BARE = r"[A-Za-z0-9+/_-]{20,}"
 KINDS = ("assign", "access", "hex", "bare")
+TURN = "[0-9][A-Za-z]|[A-Za-z][0-9]"
+TURNS = 4  # pairs of a letter and a digit in an unannounced run of one case
 PLACEHOLDER = r"(?i)example|sample|dummy|changeme|placeholder|your[_-]|x{4,}|\*{3,}|0{6,}|123456"
 
 MAX_OWNERS = 2  # owners up to which a value counts as theirs and not as an example
 WIDE_OWNERS = 4  # owners from which a value counts as a copied example
 
 
-def _lengths(strings: Column) -> Column:
-    return F.transform(strings, lambda s: F.char_length(s))
-
-
-def _total(lengths: Column, n: Column) -> Column:
-    return F.aggregate(F.slice(lengths, F.lit(1), n), F.lit(0), lambda s, x: s + x)
+SPAN = "struct<start:int,rank:int,end:int,kind:string,hash:string,live:boolean>"
 
 
 def _matches(text: Column, kind: str, pattern: str, group: int = 0) -> Column:
-    """Non-overlapping matches from the left: array of (start, rank, end, kind, hash, keep).
+    """Non-overlapping matches from the left: array of (start, rank, end, kind, hash, live).
 
     What lies between matches and the matches themselves alternate, so that
     starts are sums of lengths before. Positions are code points, ends exclusive.
     """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     values = F.regexp_extract_all(text, F.lit(pattern), F.lit(group)) if group else found
-    gaps, lengths = _lengths(F.split(text, pattern, -1)), _lengths(found)
-    cells = F.transform(
-        F.arrays_zip(lengths.alias("n"), values.alias("v")),
-        lambda c, i: F.struct(
-            (_total(gaps, i + 1) + _total(lengths, i)).alias("start"),
-            F.lit(KINDS.index(kind)).alias("rank"),
-            (_total(gaps, i + 1) + _total(lengths, i) + c["n"]).alias("end"),
-            F.lit(kind).alias("kind"),
-            F.sha2(c["v"], 256).alias("hash"),
-            c["v"].alias("value"),
-        ),
-    )
-    kept = F.filter(cells, lambda c: F.char_length(c["value"]) >= LEAST.get(kind, 0))
-    if kind == "bare":
-        kept = F.filter(kept, lambda c: looks_live(c["value"]) & _mixed(c["value"]))
-    slim = F.transform(kept, lambda c: F.struct(c["start"].alias("start"), c["rank"].alias("rank"), c["end"].alias("end"), c["kind"].alias("kind"), c["hash"].alias("hash"), looks_live(c["value"]).alias("live")))
-    return F.when(text.rlike(pattern), slim).otherwise(F.array().cast("array<struct<start:int,rank:int,end:int,kind:string,hash:string,live:boolean>>"))
+    gaps = F.transform(F.split(text, pattern, -1), lambda s: F.char_length(s))
+    cells = F.zip_with(gaps, F.arrays_zip(found.alias("m"), values.alias("v")), lambda g, c: F.struct(g.alias("gap"), F.char_length(c["m"]).alias("n"), c["v"].alias("value")))
+
+    def placed(cells: Column) -> Column:
+        """The gap after the last match has no match beside it and falls away."""
+        steps = F.transform(cells, lambda c: F.coalesce(c["gap"] + c["n"], F.lit(0)))
+        starts = F.zip_with(running_sum(steps), cells, lambda before, c: F.struct((before + c["gap"]).alias("start"), c["n"].alias("n"), c["value"].alias("value")))
+        long = F.filter(starts, lambda c: F.coalesce(F.char_length(c["value"]) >= LEAST.get(kind, 0), F.lit(False)))
+        if kind == "bare":
+            long = F.filter(long, lambda c: looks_live(c["value"]) & unannounced(c["value"]))
+        return F.transform(
+            long,
+            lambda c: F.struct(
+                c["start"].alias("start"),
+                F.lit(KINDS.index(kind)).alias("rank"),
+                (c["start"] + c["n"]).alias("end"),
+                F.lit(kind).alias("kind"),
+                F.sha2(c["value"], 256).alias("hash"),
+                looks_live(c["value"]).alias("live"),
+            ),
+        )
+
+    return F.when(text.rlike(pattern), let(cells, placed)).otherwise(F.array().cast(f"array<{SPAN}>"))
+
+
+def _varied(value: Column) -> Column:
+    """Ten different characters: something is left when nine have been taken out, one after the other."""
+    return F.aggregate(F.sequence(F.lit(1), F.lit(9)), value, lambda s, _: F.replace(s, F.substring(s, 1, 1), F.lit(""))) != ""
 
 
 def looks_live(value: Column) -> Column:
     """Random-looking: letters and digits mixed, many different characters, no placeholder words."""
-    varied = F.size(F.array_distinct(F.split(value, ""))) >= 10
-    return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & varied & ~value.rlike(PLACEHOLDER)
+    return value.rlike("[0-9]") & value.rlike("[A-Za-z]") & ~value.rlike(PLACEHOLDER) & _varied(value)
+
+
+def unannounced(value: Column) -> Column:
+    """More is asked of a run that nothing announces: both cases, or letters and digits that take turns."""
+    turns = F.char_length(value) - F.char_length(F.regexp_replace(value, TURN, ""))
+    return (value.rlike("[a-z]") & value.rlike("[A-Z]")) | (turns >= 2 * TURNS)
+
+
+def _apart(base: Column, bare: Column) -> Column:
+    """The bare runs that overlap no base match. Both are sorted by start, and bare runs do not overlap each other.
 
+    In the order of starts, a run is overlapped by what begins before it if the
+    furthest end so far lies behind its start, and by what begins inside it if the
+    next one is such a match.
+    """
+
+    def kept(every: Column) -> Column:
+        ends = F.transform(every, lambda c: F.when(c["kind"] == "bare", F.lit(0)).otherwise(c["end"]))
+        furthest = running(ends, F.lit(0), lambda s, x: F.greatest(s, x))
+        following = F.concat(F.slice(every, F.lit(2), F.size(every)), F.array(F.lit(None).cast(SPAN)))
+        cells = F.zip_with(F.zip_with(every, furthest, lambda c, far: F.struct(c.alias("c"), far.alias("far"))), following, lambda c, n: F.struct(c["c"].alias("c"), c["far"].alias("far"), n.alias("n")))
+        free = lambda x: (x["far"] <= x["c"]["start"]) & F.coalesce((x["n"]["kind"] == "bare") | (x["n"]["start"] >= x["c"]["end"]), F.lit(True))
+        return F.transform(F.filter(cells, lambda x: (x["c"]["kind"] == "bare") & free(x)), lambda x: x["c"])
 
-def _mixed(value: Column) -> Column:
-    """Nothing announces a bare run, so more is asked of it: both cases."""
-    return value.rlike("[a-z]") & value.rlike("[A-Z]")
+    return F.when((F.size(base) > 0) & (F.size(bare) > 0), let(F.array_sort(F.concat(base, bare)), kept)).otherwise(bare)
 
 
 def scanned(docs: DataFrame, id_col: str, text_col: str, repo: Column, owner: Column) -> DataFrame:
@@ -89,8 +117,7 @@ def scanned(docs: DataFrame, id_col: str, text_col: str, repo: Column, owner: Co
         F.array_sort(F.concat(_matches(text, "assign", ASSIGN, 2), _matches(text, "access", ACCESS_LONG), _matches(text, "hex", HEX_LONG))).alias("base"),
         _matches(text, "bare", BARE).alias("bare"),
     )
-    apart = F.filter("bare", lambda b: ~F.exists("base", lambda c: (c["start"] < b["end"]) & (b["start"] < c["end"])))
-    return written(rows.withColumn("bare", apart), "secrets")
+    return written(rows.withColumn("bare", let(F.struct("base", "bare"), lambda r: _apart(r["base"], r["bare"]))), "secrets")
 
 
 def row_key(id_col: str, text_col: str) -> Column:
@@ -143,12 +170,14 @@ def secrets(
 
 
 def _judged(rows: DataFrame, max_owners: int) -> DataFrame:
+    """Rows without bare runs are never shuffled; the others meet their runs that few own, by key."""
     bare = rows.where(F.size("bare") > 0)
-    each = bare.select("key", F.explode("bare.hash").alias("hash")).distinct()
-    owned = each.join(ownership(rows).where(F.col("n_owners") <= max_owners), "hash").groupBy("key").agg(F.collect_set("hash").alias("owned"))
-    joined = rows.join(owned, "key", "left")
-    added = F.filter("bare", lambda b: F.coalesce(F.array_contains(F.col("owned"), b["hash"]), F.lit(False)))
-    return joined.select("id", "key", "base", added.alias("added"))
+    each = bare.select("key", F.explode("bare").alias("c")).distinct().withColumn("hash", F.col("c.hash"))
+    few = ownership(rows).where(F.col("n_owners") <= max_owners).select("hash")
+    owned = each.join(few, "hash").groupBy("key").agg(F.array_sort(F.collect_list("c")).alias("added"))
+    none = F.array().cast(f"array<{SPAN}>")
+    joined = bare.join(owned, "key", "left").select("id", "key", "base", F.coalesce("added", none).alias("added"))
+    return joined.unionByName(rows.where(F.size("bare") == 0).select("id", "key", "base", none.alias("added")))
 
 
 def _count(kind: str) -> Column:
@@ -173,13 +202,19 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def masked(text: Column, spans: Column, mask: str = "[SECRET]") -> Column:
-    """``text`` with each of the sorted spans (start, end) replaced; overlapping ones become one."""
-    begin = F.struct(F.lit(0).alias("at"), F.lit("").alias("out"))
-    step = lambda s, c: F.struct(
-        F.greatest(s["at"], c["end"]).alias("at"),
-        F.when(c["start"] >= s["at"], F.concat(s["out"], F.substring(text, s["at"] + 1, c["start"] - s["at"]), F.lit(mask))).otherwise(s["out"]).alias("out"),
-    )
-    return F.aggregate(spans, begin, step, lambda s: F.concat(s["out"], F.substring(text, s["at"] + 1, F.char_length(text))))
+    """``text`` with each of the sorted spans (start, end) replaced; overlapping ones become one.
+
+    A span that begins before the furthest end so far belongs to the one before.
+    """
+
+    def pieces(spans: Column, parts: Column) -> Column:
+        ends = F.transform(spans, lambda c: c["end"])
+        cells = F.zip_with(spans, running(ends, F.lit(0), lambda s, x: F.greatest(s, x)), lambda c, at: F.struct(c["start"].alias("start"), at.alias("at")))
+        kept = F.transform(F.filter(cells, lambda c: c["start"] >= c["at"]), lambda c: F.concat(between(parts, c["at"], c["start"]), F.lit(mask)))
+        rest = between(parts, F.array_max(ends), F.char_length(text))
+        return F.concat(F.array_join(kept, ""), rest)
+
+    return F.when(F.size(spans) > 0, let(chunks(text), lambda parts: let(spans, lambda own: pieces(own, parts)))).otherwise(text)
 
 
 def redact(
@@ -209,6 +244,7 @@ def oracle(max_owners: int = MAX_OWNERS) -> str:
     """DuckDB SQL for :func:`digest` of documents with distinct ids, owned by their source."""
     quoted = lambda p: "'" + p.replace("'", "''") + "'"
     live = f"""(regexp_matches(v, '[0-9]') AND regexp_matches(v, '[A-Za-z]') AND len(list_distinct(string_split(v, ''))) >= 10 AND NOT regexp_matches(v, {quoted(PLACEHOLDER)}))"""
+    unannounced = f"(regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')) OR length(v) - length(regexp_replace(v, '{TURN}', '', 'g')) >= {2 * TURNS}"
     size = "list_sum(list_transform(list_slice({}, 1, {}), lambda x: length(x)))"
 
     def found(kind: str, pattern: str, group: int) -> str:
@@ -220,7 +256,7 @@ def oracle(max_owners: int = MAX_OWNERS) -> str:
     listed = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, rank, e)"
     return f"""WITH base AS (SELECT * FROM ({found("assign", ASSIGN, 2)}) WHERE length(v) >= {LEAST["assign"]}
       UNION ALL {found("access", ACCESS_LONG, 0)} UNION ALL {found("hex", HEX_LONG, 0)}),
-    bare AS (SELECT * FROM ({found("bare", BARE, 0)}) r WHERE {live} AND regexp_matches(v, '[a-z]') AND regexp_matches(v, '[A-Z]')
+    bare AS (SELECT * FROM ({found("bare", BARE, 0)}) r WHERE {live} AND ({unannounced})
       AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = r.doc_id AND base.s < r.e AND r.s < base.e)),
     owners AS (SELECT v, count(DISTINCT coalesce(source, '')) AS n FROM (SELECT * FROM base UNION ALL SELECT * FROM bare) GROUP BY v),
     every AS (SELECT * FROM base UNION ALL SELECT bare.* FROM bare JOIN owners USING (v) WHERE n <= {max_owners}),
