@@ -124,7 +124,7 @@ def test_decontamination(spark, lot):
     items += [(20, None), (21, "..."), (2, items[2][1]), (22, items[3][1])]
     texts = ODD + ["- ".join([rng.choice(vocabulary).upper() for _ in range(5)] + [rng.choice(items[:12])[1]]) + "!" for _ in range(40)]
     benchmark = spark.createDataFrame(items, "item_id int, text string")
-    found = decontaminate.contamination(frame(spark, texts), benchmark, automaton_bytes=lot)
+    found = decontaminate.contamination(frame(spark, texts), benchmark, lot_bytes=lot)
     assert set(found.columns) == {"doc_id", "text", "simhash", "n_words", "n_hit", "hit_items", "hit_starts", "hit_ends"}
     for r in found.collect():
         text = r.text or ""
