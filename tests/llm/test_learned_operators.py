@@ -1,5 +1,6 @@
 """Components, NN-descent, toxicity, the pipeline and the registered queries."""
 
+import math
 import os
 import random
 import warnings
@@ -140,7 +141,7 @@ def corpus(rng, n):
 def test_toxicity_learns_from_documents_and_locates_sentences(spark):
     rng = random.Random(1)
     texts, labels = corpus(rng, 600)
-    model = toxicity.fit(texts[:400], labels[:400])
+    model = toxicity.fit(zip(texts[:400], labels[:400], strict=True))
     scores = [model.score(t)[0] for t in texts[400:]]
     right = sum((s >= 0.5) == ("vile" in t) for s, t in zip(scores, texts[400:], strict=True))
     assert right >= 196
@@ -155,6 +156,73 @@ def test_toxicity_learns_from_documents_and_locates_sentences(spark):
     assert [unseen[a:b].strip() for r in out if r.doc_id == 1 for a, b in zip(r.toxic_starts, r.toxic_ends, strict=True)] == ["You VILEZZZ thing"]
 
 
+def brute_odds(text, weights, bias):
+    """Log odds of each sentence, from the rules."""
+    text = "".join(c.lower() if "A" <= c <= "Z" or ord(c) > 127 else "\n" if c in ".!?;\n\r" else c if "a" <= c <= "z" else " " for c in text)
+    named = lambda w: [w, *[w[:k] + "*" for k in range(4, 9) if k <= len(w)]]
+    return [bias + sum(weights.get(f, 0.0) for w in set(s.split()) for f in named(w)) for s in text.split("\n") if s.split()]
+
+
+def brute_score(text, weights, bias):
+    clean = 1.0
+    for z in brute_odds(text, weights, bias):
+        clean *= 1.0 - 1.0 / (1.0 + math.exp(-z))
+    return 1.0 - clean
+
+
+def test_toxicity_scores_are_the_noisy_or_of_sentences(spark):
+    rng = random.Random(8)
+    weights = {"vile*": 5.0, "vilefoo": 2.0, "thing": 0.5, "lorem": -1.0, "über": 3.0, "ipsu*": 0.25}
+    texts = [corpus(rng, 1)[0][0] for _ in range(60)] + [None, "", "...", "Über vilefoo; thing 7\rthing thing", "vilefoo lorem " * 3000]
+    docs = spark.createDataFrame(list(enumerate(texts)) + [(3, texts[3])], "doc_id long, text string")
+    out = toxicity.scored(docs, toxicity.Model(-3.0, weights)).collect()
+    assert len(out) == len(texts) + 1
+    for r in out:
+        odds = brute_odds(texts[r.doc_id] or "", weights, -3.0)
+        assert r.score == pytest.approx(brute_score(texts[r.doc_id] or "", weights, -3.0), abs=1e-9)
+        found = [s for s in r.toxic_scores]
+        assert found == pytest.approx([p for z in odds if (p := 1 / (1 + math.exp(-z))) >= min(0.5, 1 / (1 + math.exp(-max(odds))))] if r.score >= 0.5 else [])
+
+
+def test_toxicity_fit_follows_the_gradient_of_the_noisy_or():
+    rows = [("good day. bad word", 1), ("good day", 0), ("bad day! good word", 1), ("word word good", 0), ("", 0), ("day", 1)] * 2
+    names = ["good", "good*", "day", "bad", "word", "word*"]
+    state, share = [0.0] * len(names) + [-6.0], 1.0 - 2.0 * toxicity.FLIPPED
+
+    def gain(x):
+        total = 0.0
+        for text, y in rows:
+            q = toxicity.FLIPPED + share * brute_score(text, dict(zip(names, x, strict=False)), x[-1])
+            total += math.log(q if y else 1.0 - q)
+        return total / len(rows)
+
+    one, two = [0.0] * len(state), [0.0] * len(state)
+    for step in range(1, 6):
+        slopes = [(gain([v + 1e-5 * (i == k) for i, v in enumerate(state)]) - gain([v - 1e-5 * (i == k) for i, v in enumerate(state)])) / 2e-5 for k in range(len(state))]
+        for k in range(len(names)):
+            slopes[k] -= 2e-5 * ((state[k] > 0) - (state[k] < 0)) + 2e-5 * state[k]
+        for k, g in enumerate(slopes):
+            one[k], two[k] = 0.9 * one[k] + 0.1 * g, 0.99 * two[k] + 0.01 * g * g
+            state[k] += (0.15 if step < 3.5 else 0.03) * (one[k] / (1 - 0.9**step)) / (math.sqrt(two[k] / (1 - 0.99**step)) + 1e-7)
+    model = toxicity.fit(rows, epochs=5)
+    assert model.bias == pytest.approx(state[-1], abs=2e-3)
+    for k, f in enumerate(names):
+        assert model.weights.get(f, 0.0) == pytest.approx(state[k] if abs(state[k]) > 0.02 else 0.0, abs=4e-3)
+
+
+def test_toxicity_sample_does_not_depend_on_the_order_of_rows(spark):
+    rng = random.Random(9)
+    texts, labels = corpus(rng, 200)
+    marks = spark.createDataFrame(list(enumerate(labels)), "doc_id long, toxic int")
+    rows = list(enumerate(texts)) + [(7, "another text of an id"), (8, "vile " * 5000)]
+    models = []
+    for _ in range(2):
+        rng.shuffle(rows)
+        models.append(toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), marks, most_bytes=9000))
+    assert models[0].weights == models[1].weights and models[0].bias == models[1].bias and models[0].weights
+    assert models[0].weights != toxicity.train(spark.createDataFrame(rows, "doc_id long, text string"), marks).weights
+
+
 def test_toxicity_training_is_bounded_and_honours_the_held_out_part(spark):
     rng = random.Random(2)
     texts, labels = corpus(rng, 300)

@@ -22,9 +22,8 @@ from pyspark.sql import types as T
 from veilframe.llm.common import append_columns, name, small_batches
 
 TRAIN_ROWS = 12_000  # labelled documents on which the model is fitted, at most
-TRAIN_BYTES = 48 << 20  # and their text, at most
-LEAST_DOCS = 4  # occurrences by word and training document that a feature needs to have a weight
-MOST_FEATURES = 200_000  # features with a weight, the most frequent ones
+TRAIN_BYTES = 48 << 20  # of UTF-8 text in them, at most
+LEAST_DOCS = 4  # occurrences by word and training document without which a weight could not be told from chance
 BEGINNINGS = range(4, 9)  # letters of the beginnings of a word that are features
 REMEMBERED = 300_000  # words whose weight a worker remembers
 FLIPPED = 0.03  # share of labels taken to be wrong
@@ -105,13 +104,16 @@ def _softplus(z: float) -> float:
     return z + math.log1p(math.exp(-z)) if z > 0 else math.log1p(math.exp(z))
 
 
-def fit(texts: Iterable[str], labels: list[int], epochs: int = EPOCHS) -> Model:
-    """Maximise the likelihood of (partly wrong) document labels under the noisy-or, by Adam over all documents."""
-    if not any(labels):
-        return Model()
+def fit(rows: Iterable[tuple[str, int]], epochs: int = EPOCHS) -> Model:
+    """Maximise the likelihood of (partly wrong) labels of documents under the noisy-or, by Adam over all of them.
+
+    Texts are read once and let go; only their words' numbers are kept.
+    """
     words: dict[str, int] = {}
+    labels = array("b")
     counts, columns, lengths, owners = array("i"), array("i"), array("i"), array("i")
-    for doc, text in enumerate(texts):
+    for doc, (text, label) in enumerate(rows):
+        labels.append(int(label > 0))
         bag = sentences(folded(text))
         for word in set().union(*bag):
             if words.setdefault(word, len(words)) == len(counts):
@@ -121,6 +123,8 @@ def fit(texts: Iterable[str], labels: list[int], epochs: int = EPOCHS) -> Model:
             columns.extend(map(words.__getitem__, sentence))
             lengths.append(len(sentence))
             owners.append(doc)
+    if not any(labels):
+        return Model()
     if not owners:
         return Model()
     shares: dict[str, int] = {}
@@ -128,9 +132,8 @@ def fit(texts: Iterable[str], labels: list[int], epochs: int = EPOCHS) -> Model:
         n = counts[i]
         for f in features(word):
             shares[f] = shares.get(f, 0) + n
-    kept = sorted((f for f, n in shares.items() if n >= LEAST_DOCS), key=lambda f: (-shares[f], f))[:MOST_FEATURES]
-    index = {f: i for i, f in enumerate(kept)}
-    del shares, kept
+    index = {f: i for i, f in enumerate(sorted(f for f, n in shares.items() if n >= LEAST_DOCS))}
+    del shares
     parts = [(i, index[f]) for word, i in words.items() for f in features(word) if f in index]
     part_word, part = (np.array(c, np.int32) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32),) * 2
     del parts
@@ -169,34 +172,46 @@ def train(
     rows: int = TRAIN_ROWS,
     most_bytes: int = TRAIN_BYTES,
 ) -> Model:
-    """Fit a model on at most ``rows`` labelled documents (those with the smallest hashes of their ids).
+    """Fit a model on at most ``rows`` labelled documents: those with the smallest hashes of their ids.
 
     ``allowed`` is a condition on the labels' id column. Rows without an id, a
-    label or a document do not count. The bound holds on the driver: ids first,
-    then texts until ``most_bytes`` is reached.
+    label or a document do not count; of repeated ids the largest label counts,
+    and the text with the smallest hash. Documents are taken in the order of
+    their hashes until the next one would exceed ``most_bytes`` of text, whatever
+    the order of the table; only a text that exceeds it alone is passed over. The
+    driver handles ids and sizes of the sample, one task its texts, and what comes back are
+    the weights. Without toxic documents, or any, all scores are near 0.
     """
     known = labels.select(name(id_col).alias("id"), name(label_col).cast("int").alias("y")).where("id is not null and y is not null")
     if allowed is not None:
         known = known.where(allowed)
-    chosen = known.groupBy("id").agg(F.max("y").alias("y")).orderBy(F.xxhash64("id"), "id").limit(rows)
-    texts = docs.select(name(id_col).alias("id"), name(text_col).cast("string").alias("text"))
-    found, seen, size, x, y = texts.join(F.broadcast(chosen), "id"), set(), 0, [], []  # at most ``rows`` small rows
-    for row in found.select("id", "text", "y").toLocalIterator():
-        text = row["text"] or ""
-        if row["id"] in seen or size + len(text) > most_bytes:
-            continue
-        seen.add(row["id"])
-        size += len(text)
-        x.append(text)
-        y.append(int(row["y"] > 0))
-    return fit(_drained(x), y)
-
-
-def _drained(texts: list[str]) -> Iterator[str]:
-    """The texts, let go one by one: fitting needs their words only."""
-    for i, text in enumerate(texts):
-        texts[i] = ""
-        yield text
+    chosen = known.groupBy("id").agg(F.max("y").alias("y")).withColumn("place", F.xxhash64("id")).orderBy("place", "id").limit(rows)
+    texts = docs.select(name(id_col).alias("id"), F.coalesce(name(text_col).cast("string"), F.lit("")).alias("text"))
+    met = texts.join(F.broadcast(chosen), "id")  # at most ``rows`` small rows
+    one = F.min(F.struct(F.xxhash64("text").alias("mark"), F.octet_length("text").cast("long").alias("size")))
+    sizes = met.groupBy("id").agg(F.max("y").alias("y"), F.max("place").alias("place"), one.alias("one")).select("id", "y", "place", "one.*").collect()
+    taken, size = [], 0
+    for row in sorted((r for r in sizes if r["size"] <= most_bytes), key=lambda r: (r["place"], r["id"])):
+        size += row["size"]
+        if size > most_bytes:
+            break
+        taken.append((row["id"], row["mark"], row["y"], len(taken)))
+    if not taken:
+        return Model()
+    spark = docs.sparkSession
+    small_batches(spark)
+    schema = T.StructType([known.schema["id"], T.StructField("mark", T.LongType()), T.StructField("y", T.IntegerType()), T.StructField("place", T.LongType())])
+    sample = F.broadcast(spark.createDataFrame(taken, schema))
+    rows_of = texts.withColumn("mark", F.xxhash64("text")).join(sample, ["id", "mark"]).dropDuplicates(["place"])
+    one_task = rows_of.select("text", "y", "place").repartition(1).sortWithinPartitions("place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = fit((t.as_py(), y) for b in batches for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True))
+        features = [None, *model.weights]
+        yield pa.RecordBatch.from_arrays([pa.array(features, pa.string()), pa.array([model.bias, *model.weights.values()], pa.float64())], names=["feature", "weight"])
+
+    weights = {r["feature"]: r["weight"] for r in one_task.mapInArrow(run, "feature string, weight double").collect()}
+    return Model(weights.pop(None), weights)
 
 
 def scored(docs: DataFrame, model: Model, text_col: str = "text", keep_text: bool = True) -> DataFrame:
@@ -205,7 +220,9 @@ def scored(docs: DataFrame, model: Model, text_col: str = "text", keep_text: boo
     ``score`` lies in [0, 1]; null and empty texts have no sentence, so 0. The
     offending sentences are located in texts that score 0.5 or more, and are the
     worst one if none reaches one half by itself. Rows are neither joined nor
-    grouped; columns named like the new ones are replaced.
+    grouped, so repeated ones keep their own results; texts of any length are
+    scored whole, and an empty table gives no rows. Columns named like the new
+    ones are replaced.
     """
     small_batches(docs.sparkSession)
     bias, weights = model.bias, dict(model.weights)
@@ -236,5 +253,12 @@ def held_out(id_col: str) -> Column:
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
-    """The contract's columns of a result of :func:`scored`."""
-    return found.select(name(id_col).alias("doc_id"), held_out(id_col).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    """The contract's columns of a result of :func:`scored`, and the offending sentences as code points of the text."""
+    spans = F.zip_with("toxic_starts", "toxic_ends", lambda a, b: F.concat_ws(":", a.cast("string"), b.cast("string")))
+    return found.select(
+        name(id_col).alias("doc_id"),
+        held_out(id_col).alias("held_out"),
+        "score",
+        (F.col("score") >= 0.5).cast("int").alias("predicted"),
+        F.concat_ws(",", spans).alias("toxic_spans"),
+    )
