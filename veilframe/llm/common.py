@@ -21,10 +21,14 @@ def name(column: str) -> Column:
 def shared_folder(spark: SparkSession) -> str:
     """A folder that driver and executors share: the one the cluster names.
 
-    Only where none is named (tests on one machine) a temporary one is set.
+    Only where none is named and all runs in one process (as in tests) a
+    temporary one is set; a cluster has to name one.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not folder:
+        master = spark.sparkContext.master
+        if not master.startswith("local") or master.startswith("local-cluster"):
+            raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
         folder = tempfile.mkdtemp(prefix="veilframe-shared-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")
@@ -56,6 +60,17 @@ def small_batches(spark: SparkSession, rows: int = 1000) -> None:
         spark.conf.set(key, str(rows))
 
 
+BROADCAST_ROWS = 1_000_000  # narrow rows that every executor can hold
+
+
+def narrow(df: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """``df``, of a few small columns, marked for broadcast if its counted rows allow it; else joins shuffle.
+
+    ``df`` should be written or checkpointed, as it is counted first.
+    """
+    return F.broadcast(df) if df.count() <= most else df
+
+
 def estimated_bytes(df: DataFrame) -> int:
     """Catalyst's estimate of the size of ``df``; for files, their size."""
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
