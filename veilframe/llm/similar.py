@@ -13,11 +13,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.llm.common import append_columns, checkpointed, map_groups, name, small_batches, written
+from veilframe.llm.common import append_columns, checkpointed, map_groups, name, narrow, small_batches, written
 from veilframe.llm.components import components
 from veilframe.llm.simhash import BITS, links
 
@@ -30,7 +30,7 @@ _ODD = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) *
 _ADD = np.random.default_rng(43).integers(0, 1 << 63, BANDS * ROWS, np.uint64)
 
 FIELDS = [T.StructField("key", T.StringType()), T.StructField("simhash", T.LongType()), T.StructField("bands", T.ArrayType(T.LongType()))]
-LINKS = T.StructType([T.StructField("a", T.StringType()), T.StructField("b", T.StringType())])
+LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
 
 def shingles(text: str, shingle: int = SHINGLE, seed: int = 42) -> np.ndarray:
@@ -97,14 +97,15 @@ def with_keys(docs: DataFrame, text_col: str, keep_text: bool = False) -> DataFr
 
 
 def _sets(texts: DataFrame) -> DataFrame:
-    """(key, own): the sets of shingles of texts."""
+    """(node, own): the sets of shingles of texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            own = [np.unique(shingles(t or "")).tobytes() for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("key"), pa.array(own, pa.binary())], names=["key", "own"])
+            own = [np.unique(shingles(t.as_py() or "")).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(own, pa.binary())], names=["node", "own"])
 
-    return written(texts.select("key", "text").mapInArrow(run, T.StructType([FIELDS[0], T.StructField("own", T.BinaryType())])), "shingles")
+    made = texts.select("node", "text").mapInArrow(run, "node long, own binary")
+    return written(made.dropDuplicates(["node"]), "shingles")
 
 
 def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
@@ -122,24 +123,24 @@ def _verified(pairs: DataFrame, sets: DataFrame, similar: float) -> DataFrame:
             good = pa.array(good, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column("a").take(good), batch.column("b").take(good)], names=["a", "b"])
 
-    left = sets.select(F.col("key").alias("a"), F.col("own").alias("x"))
-    right = sets.select(F.col("key").alias("b"), F.col("own").alias("y"))
+    left = sets.select(F.col("node").alias("a"), F.col("own").alias("x"))
+    right = sets.select(F.col("node").alias("b"), F.col("own").alias("y"))
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, LINKS)
 
 
 def _exhausted(rows: DataFrame, similar: float) -> DataFrame:
-    """Links across components in the same bucket; ``rows`` has bucket, key, root and own.
+    """Links across components in the same bucket; ``rows`` has bucket, node, root and own.
 
     Members of a bucket are dealt to blocks, and each pair of blocks is a group
     of its own. A member is compared with a whole group in one sweep.
     """
     sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
-    dealt = rows.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("key"), F.col("blocks")).cast("int"))
+    dealt = rows.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "key", "root", "own")
+    dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "own")
 
     def work(table: pa.Table, groups: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-        keys, roots, sets = (table.column(c).to_pylist() for c in ("key", "root", "own"))
+        keys, roots, sets = (table.column(c).to_pylist() for c in ("node", "root", "own"))
         a, b = [], []
         for lo, hi in groups:
             label = np.unique(roots[lo:hi], return_inverse=True)[1]
@@ -162,46 +163,67 @@ def _exhausted(rows: DataFrame, similar: float) -> DataFrame:
                         b.append(keys[lo + k])
                         label[label == label[i]] = label[k]
         if a:
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.string()), pa.array(b, pa.string())], names=["a", "b"])
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     return map_groups(dealt, ["bucket", "i", "j"], work, LINKS, rows=2 * BLOCK)
 
 
+def row_mark(row_id: Column, text: Column) -> Column:
+    """The same for rows of equal id and text only (a null text is an empty one)."""
+    return F.unhex(F.md5(F.concat(F.when(row_id.isNull(), "n").otherwise(F.concat(F.lit("i"), row_id.cast("string"), F.lit(":"))), F.coalesce(text, F.lit("")))))
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", budget: int = 4, similar: float = SIMILAR) -> DataFrame:
-    """(id, key, component_id) of every row: rows linked, directly or not, share the smallest id.
+    """(id, mark, root, component_id) of every row: rows linked, directly or not, share root and smallest id.
 
     Texts are linked if their sets of word shingles have a Jaccard similarity of
     at least ``similar``. Null and empty texts are equal. Repeated rows and ids
     stay as they are; rows without an id link like any other, and have a null
-    component if no row of it has an id.
+    component if no row of it has an id. An empty table gives no rows. ``mark``
+    is that of :func:`row_mark`.
     """
-    marked = docs.select(name(id_col).alias("id"), name(text_col).cast("string").alias("text"))
-    # A mark for one row of each key, so that the text is fetched once.
-    hashed = written(with_keys(marked.withColumn("mark", F.xxhash64("text", "id")), "text"), "near")
-    nodes = written(hashed.groupBy("key").agg(F.min("id").alias("first"), F.min("mark").alias("mark"), F.min(F.struct("simhash", "bands")).alias("v")).select("key", "first", "mark", "v.*"), "near-keys")
-
-    met = nodes.select("key", F.explode("bands").alias("bucket"))
-    buckets = checkpointed(met.groupBy("bucket").agg(F.min("key").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    text = name(text_col).cast("string")
+    marked = docs.select(name(id_col).alias("id"), text.alias("text"), row_mark(name(id_col), text).alias("mark"))
+    hashed = written(with_keys(marked, "text"), "near")
+    # Distinct sets of shingles by number; one row of each stands for its text.
+    nodes = hashed.groupBy("key").agg(F.min("id").alias("first"), F.min("mark").alias("mark"), F.min(F.struct("simhash", "bands")).alias("v"))
+    nodes = written(nodes.select(F.monotonically_increasing_id().alias("node"), "key", "first", "mark", "v.*"), "near-keys")
+
+    met = nodes.select("node", F.explode("bands").alias("bucket"))
+    buckets = met.groupBy("bucket").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("n")).where("n > 1")
     members = checkpointed(met.join(buckets, "bucket"))
-    prints = checkpointed(nodes.groupBy("simhash").agg(F.min("key").alias("rep")))
-    pairs = members.select(F.col("centre").alias("a"), F.col("key").alias("b")).unionByName(links(prints, budget))
-    pairs = pairs.unionByName(nodes.join(prints, "simhash").select(F.col("rep").alias("a"), F.col("key").alias("b"))).where("a <> b")
-    pairs = checkpointed(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("key")).distinct()
-    chosen = nodes.join(wanted, "key", "left_semi").select("key", "mark")
-    texts = marked.withColumn("mark", F.xxhash64("text", "id")).join(chosen.withColumnRenamed("key", "k"), "mark").dropDuplicates(["k"]).select(F.col("k").alias("key"), "text")
-    sets = _sets(texts)
+    prints = checkpointed(nodes.groupBy("simhash").agg(F.min("node").alias("rep"), F.count(F.lit(1)).alias("n")))
+    pairs = members.select(F.col("centre").alias("a"), F.col("node").alias("b")).unionByName(links(prints.drop("n"), budget))
+    pairs = pairs.unionByName(nodes.join(prints.where("n > 1"), "simhash").select(F.col("rep").alias("a"), F.col("node").alias("b")))
+    pairs = checkpointed(pairs.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    chosen = checkpointed(nodes.join(wanted, "node", "left_semi").select("node", "mark"))
+    sets = _sets(marked.join(narrow(chosen), "mark"))
     found = checkpointed(_verified(pairs, sets, similar))
     roots = components(found)
 
     # Buckets of three and more in several components; those with the same members count once.
-    rooted = members.where("n > 2").join(roots.withColumnRenamed("node", "key"), "key", "left").select("bucket", "key", F.coalesce("root", "key").alias("root"))
-    open_ = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("sum"), F.count(F.lit(1)).alias("n"))
+    rooted = members.where("n > 2").join(roots, "node", "left").select("bucket", "node", F.coalesce("root", "node").alias("root"))
+    open_ = rooted.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.sum(F.xxhash64("node").cast("decimal(38,0)")).alias("sum"), F.count(F.lit(1)).alias("n"))
     open_ = open_.where("lo <> hi").groupBy("sum", "n").agg(F.min("bucket").alias("bucket")).select("bucket")
-    across = checkpointed(_exhausted(rooted.join(open_, "bucket", "left_semi").join(sets, "key"), similar))
+    across = checkpointed(_exhausted(rooted.join(open_, "bucket", "left_semi").join(sets, "node"), similar))
     if not across.isEmpty():
         roots = components(found.unionByName(across))
-    classes = nodes.join(roots.withColumnRenamed("node", "key"), "key", "left").select("key", "first", F.coalesce("root", "key").alias("root"))
+    classes = nodes.join(roots, "node", "left").select("key", "first", F.coalesce("root", "node").alias("root"))
     least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
-    return hashed.select("id", "key").join(classes.join(least, "root").select("key", "component_id"), "key")
+    return hashed.select("id", "mark", "key").join(classes.join(least, "root").select("key", "root", "component_id"), "key").drop("key")
+
+
+def surplus(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Marks of rows that go, and marks of rows that stay once of several, by a result of :func:`near_duplicates`.
+
+    Of each component the row with the smallest id stays (rows without one come
+    last), then the one with the smallest mark.
+    """
+    place = F.struct(F.col("id").isNull().alias("lost"), "id", "mark")
+    best = found.groupBy("root").agg(F.min(place).alias("best"))
+    rows = found.groupBy("root", "mark").agg(F.count(F.lit(1)).alias("n"))
+    judged = rows.join(best.select("root", F.col("best.mark").alias("stays")), "root").select("mark", "n", (F.col("mark") == F.col("stays")).alias("stays"))
+    judged = checkpointed(judged.where("not stays or n > 1"))
+    return judged.where("not stays").select("mark"), judged.where("stays").select("mark")
