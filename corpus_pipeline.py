@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm import decontaminate, packing, secrets, similar, toxicity
-from veilframe.llm.common import name, written
+from veilframe.llm.common import name, narrow, written
 from veilframe.llm.queries import table, tokenizer, toxicity_model
 
 DEDUP_BITS = 4  # of fingerprints that only propose pairs; the five-word shingles decide
@@ -34,26 +34,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near-duplicates: a similarity of 0.8 in five-word shingles.
+    """One document of each group of near-duplicates: those linked by a similarity of 0.8 in five-word shingles.
 
-    Of several rows of that id one stays. Rows without an id stay unless a row
-    with an id is in their group.
+    Rows are judged one by one and not by their ids: the row with the smallest id
+    stays (rows without one come last), of several such texts the one with the smallest hash.
+    Of rows that repeat an id and a text one stays, the first by its other
+    columns. Null and empty texts are one group. Long texts are compared whole.
+    An empty table gives an empty one.
     """
-    found = similar.near_duplicates(docs, budget=DEDUP_BITS)
-    lost = found.where("id is null").select("key", "component_id")
-    ids = found.where("id is not null").groupBy("id").agg(F.max((F.col("id") == F.col("component_id")).cast("int")).alias("kept"), F.count(F.lit(1)).alias("n"))
-    ids = written(ids.where("kept = 0 or n > 1"), "copies")
-    twice = ids.where("kept = 1").select(F.col("id").alias("__id"))
-    named = docs.where("doc_id is not null")
-    once = named.join(ids.select(F.col("id").alias("__id")), F.col("doc_id") == F.col("__id"), "left_anti")
-    first = named.join(twice, F.col("doc_id") == F.col("__id"), "left_semi").dropDuplicates(["doc_id"])
-    out = once.unionByName(first)
-    if lost.where("component_id is null").isEmpty():
-        return out
-    nameless = docs.where("doc_id is null").select(F.struct(*[name(c) for c in docs.columns]).alias("__row"), F.col("text").alias("__text"))
-    free = lost.where("component_id is null").select(F.col("key").alias("__free")).distinct()
-    nameless = similar.with_keys(nameless, "__text").join(free, F.col("key") == F.col("__free"), "left_semi").select("__row.*")
-    return out.unionByName(nameless.select(*[name(c) for c in docs.columns]))
+    lost, once = similar.surplus(similar.near_duplicates(docs, budget=DEDUP_BITS))
+    mark = similar.row_mark(F.col("doc_id"), F.col("text"))
+    marked = docs.withColumn("__mark", mark)
+    stay = marked.join(narrow(lost.withColumnRenamed("mark", "__mark")), "__mark", "left_anti")
+    once = narrow(once.withColumnRenamed("mark", "__mark"))
+    repeated = stay.join(once, "__mark", "left_semi").groupBy("__mark").agg(F.min(F.struct(*[name(c) for c in docs.columns])).alias("__row"))
+    columns = [name(c) for c in docs.columns]
+    return stay.join(once, "__mark", "left_anti").select(*columns).unionByName(repeated.select("__row.*").select(*columns))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
