@@ -3,6 +3,7 @@
 import math
 import os
 import random
+from datetime import datetime, timedelta
 
 import duckdb
 import pytest
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 import __spark_entry__ as entry
 from veilframe import AuditAgent, PrivateFrame
 from veilframe.apps import geo, graph, ml
+from veilframe.operators.release import gap_table
 from veilframe.sources import maps, readers
 from veilframe.streaming.batches import WindowReleaser, windowed_counts
 from veilframe.testing import FixedUniform, reveal
@@ -85,15 +87,60 @@ def test_stream_windows_are_released_once(spark, tmp_path):
     rows = [(f"2024-01-01 00:{m:02d}:00", 1) for m in (1, 2, 3, 14, 15, 40)]
     spark.createDataFrame(rows, "at string, v int").select(F.col("at").cast("timestamp").alias("at"), "v").write.parquet(str(folder))
     stream = spark.readStream.schema("at timestamp, v int").parquet(str(folder))
-    audit, out = AuditAgent("t"), []
-    releaser = WindowReleaser(audit, 0.5, lambda start, n: out.append((start, n)), FixedUniform())
+    audit, out, ledger = AuditAgent("t"), [], str(tmp_path / "ledger")
+    first, width = datetime(2024, 1, 1), timedelta(minutes=10)
+    releaser = WindowReleaser(audit, 0.5, lambda start, n: out.append((start, n)), first, width, ledger, FixedUniform())
     query = windowed_counts(stream, "at", "10 minutes", "1 minute").writeStream.outputMode("append").foreachBatch(releaser).option("checkpointLocation", str(tmp_path / "c")).start()
     query.processAllAvailable()
     query.stop()
-    assert [round(n - 2 * math.log(2)) for _, n in sorted(out)] == [3, 2]
+    assert [round(n - 2 * math.log(2)) for _, n in out] == [3, 2]  # a third window is closed only when a later one is
     assert audit.total == 0.5
-    releaser(spark.createDataFrame([(out[0][0], 3)], "start timestamp, n long"), 9)
-    assert len(out) == 2
+    releaser(spark.createDataFrame([(first, 3)], "start timestamp, n long"), 9)
+    releaser(spark.createDataFrame([(datetime(2024, 1, 1, 0, 40), 1), (datetime(2023, 1, 1), 7)], "start timestamp, n long"), 10)
+    assert [(s.minute, round(n - 2 * math.log(2))) for s, n in out] == [(0, 3), (10, 2), (20, 0), (30, 0), (40, 1)]
+    again, after = [], AuditAgent("restarted")
+    other = WindowReleaser(after, 0.5, lambda start, n: again.append((start, n)), first, width, ledger, FixedUniform(0.1))
+    other(spark.createDataFrame([(datetime(2024, 1, 1, 0, 40), 99)], "start timestamp, n long"), 10)
+    assert again == out[2:] and after.total == 0.5
+    other.finish(spark, datetime(2024, 1, 1, 1, 10))
+    other.finish(spark, datetime(2024, 1, 1, 1, 10))
+    assert [s.hour * 60 + s.minute for s, _ in again[3:]] == [50, 60, 50, 60] and again[3:5] == again[5:] and after.total == 0.5
+
+
+def test_a_hub_is_bounded_without_gathering_its_edges(spark):
+    hub = spark.range(50_000).selectExpr("0L as src", "id + 1 as dst")
+    audit = AuditAgent("hub")
+    frame = graph.bound_degree(PrivateFrame(hub, audit), 3)
+    assert sorted(map(tuple, reveal(frame).collect())) == [(0, 1), (0, 2), (0, 3), (1, 0), (2, 0), (3, 0)]
+    assert "collect_list" not in reveal(frame)._jdf.queryExecution().toString()
+    frame.noisy_count(1.0)
+    assert audit.total == 2 * (2 * 3) ** 2
+
+
+def test_a_partition_of_many_keys_is_one_plan_and_one_charge(spark):
+    audit = AuditAgent("keys")
+    frame = PrivateFrame(spark.range(20_000).selectExpr("id % 9000 as k"), audit, noise=FixedUniform(0.5))
+    exact = lambda counts: {k: round(n - 2 * math.log(2)) for k, n in counts.items()}
+    counts = exact(frame.partition(range(-1000, 9000), "k").noisy_counts(0.5))
+    assert len(counts) == 10_000 and counts[-1] == 0 and counts[0] == 3 and counts[8999] == 2 and audit.ledger == [(1, 0.5, 0.5)]
+    mixed = PrivateFrame(spark.createDataFrame([(1.5, "a"), (2.0, None), (None, "a")], "x double, s string"), noise=FixedUniform(0.5))
+    assert exact(mixed.partition([1.5, 2, None, "7"], "x").noisy_counts(0.5)) == {1.5: 1, 2: 1, None: 1, "7": 0}
+    assert exact(mixed.partition([(2, None), (None, "a"), (1.5, "b")], ["x", "s"]).noisy_counts(0.5)) == {(2, None): 1, (None, "a"): 1, (1.5, "b"): 0}
+
+
+def test_crowded_values_are_dealt_to_many_ranges(spark):
+    values = spark.range(40_000).selectExpr("0.5 + id / 1e12 as v")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")  # or so few rows share one range
+    try:
+        gaps = gap_table(values, F.col("v"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    sizes = [r["n"] for r in gaps.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert len(sizes) >= 4 and max(sizes) < 20_000 and sum(sizes) == 40_001
+    frame = PrivateFrame(values)
+    assert all(abs(frame.noisy_order_statistic(10.0, f, F.col("v")) - 0.5 - f * 4e-8) < 1e-8 for f in (0.25, 0.5, 0.75))
+    ones = PrivateFrame(spark.range(1000).selectExpr("if(id < 500, 0.25, 1.0) as v"))
+    assert all(0.25 <= ones.noisy_median(1.0, F.col("v")) <= 1.0 for _ in range(3))
 
 
 @pytest.fixture(scope="module")

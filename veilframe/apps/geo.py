@@ -11,6 +11,8 @@ from pyspark.sql import functions as F
 from veilframe.operators.frame import PrivateFrame
 from veilframe.sources.readers import fields
 
+KEEP_LEVELS = 6  # levels after which the points of a quadtree are kept
+
 
 def search_coordinates(searches: PrivateFrame, locations: PrivateFrame, query: str) -> PrivateFrame:
     """Coordinates in [-1, 1]^2, one per /24 network that searched for ``query``.
@@ -45,7 +47,8 @@ def quadtree(points: PrivateFrame, valid: set[str] | None, depth: int, start: fl
     Level by level: ONE job gives the noisy mean sign of the split coordinate of
     all open cells together. Coordinates alternate; a cell's points are divided
     by that mean, both halves rounded half to even. A prefix outside ``valid``
-    (and a cell without points) is not followed.
+    (and a cell without points) is not followed. Points are kept every few
+    levels, so that no level starts from the source through all those above it.
     """
     eps0 = 1.0
     count = points.noisy_count(eps0) if start is None else start
@@ -69,6 +72,8 @@ def quadtree(points: PrivateFrame, valid: set[str] | None, depth: int, start: fl
             F.col("b").alias("a"),
             rescaled.alias("b"),
         )
+        if level % KEEP_LEVELS == KEEP_LEVELS - 1 and level + 1 < depth:
+            rows = rows.materialize()
     return [(p, n) for p, n in sorted(cells.items()) if n > 0 and (valid is None or p in valid)]
 
 

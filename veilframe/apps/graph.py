@@ -25,8 +25,7 @@ def bound_degree(edges: PrivateFrame, bound: int, cheap: bool = False) -> Privat
         kept = edges.distinct(bound, by="src", order_by=["src", "dst"]).distinct(bound, by="dst", order_by=["src", "dst"])
     else:
         for key in ("src", "dst"):
-            groups = edges.group_by(key).items(order_by=["src", "dst"])
-            edges = groups.flat_map(bound, F.col("items"), "edge").select(F.col("edge.src").alias("src"), F.col("edge.dst").alias("dst"))
+            edges = edges.group_by(key).first(bound, order_by=["src", "dst"])
         kept = edges
     return kept.concat(kept.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
 

@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column
+from pyspark.errors import PySparkTypeError, PySparkValueError
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilframe.operators import release
 from veilframe.operators.frame import Keys, PrivateFrame, key_columns
 from veilframe.plans.agents import PartitionAgent, PartitionLedger, check_epsilon
 
+BROADCAST_KEYS = 1_000_000  # listed keys up to which every executor gets them all
+
 
 class PrivatePartitions:
     """A key-indexed view of ONE keyed DataFrame.
@@ -46,28 +50,38 @@ class PrivatePartitions:
         return self._frame._derive(rows, PartitionAgent(self._ledger, key))
 
     def _charge_all(self, eps: float) -> None:
-        done = []
-        for key in self.keys:
-            agent = PartitionAgent(self._ledger, key)
-            try:
-                release.charge(agent, eps)
-            except release.PrivacyDenied:
-                for k in done:
-                    PartitionAgent(self._ledger, k).apply(-eps)
-                raise
-            done.append(key)
+        if not self._ledger.settle_all(eps):
+            raise release.PrivacyDenied("the privacy budget does not cover this release")
+
+    def _listed(self) -> DataFrame:
+        """(__key, __k0, ...): the listed keys by number, as the types of the columns they are compared with."""
+        spark = self._frame._df.sparkSession
+        columns = list(zip(*[self._parts(k) for k in self.keys], strict=True))
+        kinds = [self._keyed.schema[n].dataType for n in self._names]
+        try:
+            rows = spark.createDataFrame(list(zip(range(len(self.keys)), *columns, strict=True)), ["__key", *[f"__k{i}" for i in range(len(kinds))]])
+        except (PySparkTypeError, PySparkValueError):  # keys of several Python types, or none but nulls, have no type of their own
+            text = [[None if v is None else str(v) for v in column] for column in columns]
+            schema = T.StructType([T.StructField("__key", T.LongType()), *[T.StructField(f"__k{i}", T.StringType()) for i in range(len(kinds))]])
+            rows = spark.createDataFrame(list(zip(range(len(self.keys)), *text, strict=True)), schema)
+        return rows.select("__key", *[F.col(f"__k{i}").cast(kind).alias(f"__k{i}") for i, kind in enumerate(kinds)])
 
     def _grid(self, *aggs: Column) -> dict:
-        """Aggregates by listed key, from one job; filtering first bounds what comes back."""
-        keep = F.lit(False)
-        for key in self.keys:
-            match = F.lit(True)
-            for name, value in zip(self._names, self._parts(key), strict=True):
-                match = match & F.col(name).eqNullSafe(F.lit(value))
-            keep = keep | match
-        rows = release.collect_bounded(self._keyed.filter(keep).groupBy(*self._names).agg(*aggs))
-        found = {tuple(r[n] for n in self._names): r for r in rows}
-        return {key: found.get(tuple(self._parts(key))) for key in self.keys}
+        """Aggregates by listed key, from one job.
+
+        Rows meet their key in a join with the table of keys, so the plan has the
+        same size for any number of them, and only as many rows come back. The
+        table comes from the driver and is broadcast while it is small enough.
+        """
+        if not self.keys:
+            return {}
+        keys = self._listed()
+        if len(self.keys) <= BROADCAST_KEYS:
+            keys = F.broadcast(keys)
+        match = [F.col(n).eqNullSafe(F.col(f"__k{i}")) for i, n in enumerate(self._names)]
+        rows = release.collect_bounded(self._keyed.join(keys, match).groupBy("__key").agg(*aggs))
+        found = {r["__key"]: r for r in rows}
+        return {key: found.get(i) for i, key in enumerate(self.keys)}
 
     def noisy_counts(self, eps: float) -> dict:
         eps = check_epsilon(eps)

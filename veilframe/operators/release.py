@@ -1,8 +1,9 @@
 """The release mechanisms: the only ways by which data leaves a private frame.
 
 Every release charges the agent first, then runs ONE Spark job that returns a
-bounded number of rows, then adds noise on the driver. A failing job keeps the
-charge and tells nothing about the data.
+bounded number of rows, then adds noise on the driver. Order statistics take a few:
+their gaps are computed once and kept, and small sums of them are read. A failing
+job keeps the charge and tells nothing about the data.
 """
 
 from __future__ import annotations
@@ -16,8 +17,9 @@ from pyspark.sql import functions as F
 from veilframe.functions.scalars import clamp
 from veilframe.plans.agents import Agent, PrivacyDenied
 from veilframe.plans.noise import NoiseSource
+from veilframe.sources.storage import pinned
 
-GAP_BUCKETS = 4096  # ranges into which [0, 1] is cut, so that ranks are found in parallel
+TAIL = 2**31 - 1  # the range of the gap behind the last value
 
 
 class ReleaseFailed(RuntimeError):
@@ -52,16 +54,14 @@ def gap_table(df: DataFrame, value: Column) -> DataFrame:
     """The gaps between the sorted values of ``value`` held in [0, 1]: (bucket, lo, hi, below).
 
     ``below`` counts the rows strictly below the gap's upper end. Values are
-    grouped first; ranks and predecessors are found inside ranges of the unit
-    interval in parallel, and carried over from range to range in a summary of
-    at most ``GAP_BUCKETS + 1`` rows.
+    grouped first, with map-side sums, and the distinct ones are dealt to ranges
+    of about as many each, however crowded they lie. They are kept, so that all
+    that follows sees the same ranges. Ranks and predecessors are found inside
+    the ranges in parallel, and carried over from range to range in a summary of
+    one row each.
     """
-    values = (
-        df.select(clamp(value, 0.0, 1.0).alias("v"))
-        .groupBy("v")
-        .agg(F.count(F.lit(1)).alias("m"))
-        .withColumn("bucket", F.floor(F.col("v") * GAP_BUCKETS).cast("int"))
-    )
+    counted = df.select(clamp(value, 0.0, 1.0).alias("v")).groupBy("v").agg(F.count(F.lit(1)).alias("m"))
+    values = pinned(counted.repartitionByRange("v").withColumn("bucket", F.spark_partition_id()))
     inside = Window.partitionBy("bucket").orderBy("v")
     ranked = values.select(
         "bucket",
@@ -86,7 +86,7 @@ def gap_table(df: DataFrame, value: Column) -> DataFrame:
         (F.col("base") + F.col("before")).alias("below"),
     )
     tail = values.agg(
-        F.lit(GAP_BUCKETS + 1).alias("bucket"),
+        F.lit(TAIL).alias("bucket"),
         F.coalesce(F.max("v"), F.lit(0.0)).alias("lo"),
         F.lit(1.0).alias("hi"),
         F.coalesce(F.sum("m"), F.lit(0)).alias("below"),
@@ -98,17 +98,19 @@ def order_statistic(df: DataFrame, value: Column, eps: float, fraction: float, n
     """Draw a point of [0, 1] with density proportional to exp(-eps * |fraction * n - rank|).
 
     Log weights keep distant gaps from underflowing. The gap is drawn by its
-    cumulative weight: first its range, from at most ``GAP_BUCKETS + 1`` sums,
-    then within the range, so that no per-gap randomness is needed.
+    cumulative weight: first its range, from one sum each, then within the
+    range, so that no per-gap randomness is needed. The rank behind the last gap
+    is the number of rows.
     """
-    gaps = gap_table(df, value)
-    total = df.agg(F.count(F.lit(1)).alias("n"))
-    weighted = gaps.crossJoin(F.broadcast(total)).select(
-        "bucket",
-        "lo",
-        "hi",
-        (F.ln(F.col("hi") - F.col("lo")) - eps * F.abs(F.col("n") * fraction - F.col("below"))).alias("lw"),
-    )
+    try:
+        gaps = pinned(gap_table(df, value))
+    except Exception:
+        raise ReleaseFailed("the release failed; its charge stays") from None
+    total = collect_bounded(gaps.agg(F.max(F.when(F.col("bucket") == TAIL, F.col("below"))).alias("n")))[0]["n"]
+    if total is None:  # the last value is 1, so there is no gap behind it
+        total = collect_bounded(df.agg(F.count(F.lit(1)).alias("n")))[0]["n"]
+    weight = F.ln(F.col("hi") - F.col("lo")) - eps * F.abs(F.lit(total) * fraction - F.col("below"))
+    weighted = gaps.select("bucket", "lo", "hi", weight.alias("lw"))
     top = collect_bounded(weighted.agg(F.max("lw").alias("top")))[0]["top"]
     sums = weighted.groupBy("bucket").agg(F.sum(F.exp(F.col("lw") - F.lit(top))).alias("mass"))
     rows = sorted(collect_bounded(sums), key=lambda r: r["bucket"])

@@ -99,16 +99,32 @@ class PartitionLedger:
         self.paid = 0.0
 
     def settle(self, key: Hashable, eps: float) -> bool:
+        """Charge one part. What was paid is the largest amount spent, so only a refund has to look at all parts."""
         before = self.spent[key]
         self.spent[key] = before + eps
-        owed = max(self.spent.values(), default=0.0)
-        change = owed - self.paid
-        if change == 0 or self.target._charge(change):
-            self.paid = owed
+        if self._pay(max(self.paid, before + eps) if eps >= 0 else max(self.spent.values())):
             return True
         self.spent[key] = before
         return False
 
+    def settle_all(self, eps: float) -> bool:
+        """Charge every part the same, all or none, with one request to the target."""
+        with _LOCK:
+            if not self.spent:
+                return True
+            if not self._pay(max(self.spent.values()) + eps):
+                return False
+            for key in self.spent:
+                self.spent[key] += eps
+            return True
+
+    def _pay(self, owed: float) -> bool:
+        change = owed - self.paid
+        if change != 0 and not self.target._charge(change):
+            return False
+        self.paid = owed
+        return True
+
 
 class PartitionAgent(Agent):
     """Parallel composition: disjoint parts together cost as much as the dearest of them."""

@@ -6,6 +6,8 @@ Releases draw fixed noise (see ``testing``), so that SQL can compute them too.
 from __future__ import annotations
 
 import math
+import random
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,8 +16,12 @@ from pyspark.sql import functions as F
 from veilframe.apps import geo, graph, ml, text
 from veilframe.operators.frame import PrivateFrame
 from veilframe.operators.release import gap_table
-from veilframe.plans.agents import AuditAgent, BudgetAgent
+from veilframe.plans.agents import Agent, AuditAgent, BudgetAgent
+from veilframe.plans.guard import Guard, GuardError
+from veilframe.plans.noise import NoiseSource
+from veilframe.sources import maps, readers
 from veilframe.sources.readers import lines_of, table, words
+from veilframe.sources.storage import shared_folder
 from veilframe.testing import FixedUniform, reveal
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -45,12 +51,16 @@ def rows(spark: SparkSession, values: list[tuple], schema: str) -> DataFrame:
     return spark.createDataFrame(values, schema)
 
 
-def average_sql(tally: str, n: str, eps: float) -> str:
-    """The truncated Laplace draw at u = 0.75 around tally / n."""
+def average(tally: str, n: str, eps: float) -> str:
+    """The truncated Laplace draw at u = 0.75 around tally / n, as SQL."""
     mu, b = f"({tally} / {n})", f"(2.0 / ({eps} * {n}))"
     below = lambda x: f"(CASE WHEN {x} < {mu} THEN 0.5 * exp(({x} - {mu}) / {b}) ELSE 1 - 0.5 * exp(-({x} - {mu}) / {b}) END)"
     p = f"({below('-1.0')} + 0.75 * ({below('1.0')} - {below('-1.0')}))"
-    return f"round(least(1.0, greatest(-1.0, CASE WHEN {p} < 0.5 THEN {mu} + {b} * ln(greatest(2 * {p}, 1e-300)) ELSE {mu} - {b} * ln(greatest(2 * (1 - {p}), 1e-300)) END)), 6)"
+    return f"least(1.0, greatest(-1.0, CASE WHEN {p} < 0.5 THEN {mu} + {b} * ln(greatest(2 * {p}, 1e-300)) ELSE {mu} - {b} * ln(greatest(2 * (1 - {p}), 1e-300)) END))"
+
+
+def average_sql(tally: str, n: str, eps: float) -> str:
+    return f"round({average(tally, n, eps)}, 6)"
 
 
 # ---- record-wise, first rows ------------------------------------------------
@@ -230,10 +240,19 @@ def noisy_median(spark, sf):
     return rows(spark, [(round(value, 4),)], "noisy_median double")
 
 
-@query("noisy_order_statistic")
+def _order_sql(fraction: float) -> str:
+    return f"""(WITH lw AS (SELECT lo, hi, ln(hi - lo) - 0.01 * abs({fraction} * (SELECT count(*) FROM lineitem) - below) AS lw FROM gaps WHERE hi > lo),
+      c AS (SELECT lo, hi, sum(exp(lw - (SELECT max(lw) FROM lw))) OVER (ORDER BY lo ROWS UNBOUNDED PRECEDING) AS run FROM lw)
+      SELECT {fraction}::DOUBLE AS fraction, round(lo + (hi - lo) * 0.75, 4) AS value FROM c WHERE run > 0.75 * (SELECT max(run) FROM c) ORDER BY lo LIMIT 1)"""
+
+
+_FRACTIONS = (0.0, 0.25, 0.75, 1.0)
+
+
+@query("noisy_order_statistic", f"WITH {_GAPS} {' UNION ALL '.join(map(_order_sql, _FRACTIONS))}")
 def noisy_order_statistic(spark, sf):
     frame = private(spark, sf, "lineitem")
-    got = [(f, round(frame.noisy_order_statistic(0.01, f, F.col("l_extendedprice") / 100000), 4)) for f in (0.0, 0.25, 0.75, 1.0)]
+    got = [(f, round(frame.noisy_order_statistic(0.01, f, F.col("l_extendedprice") / 100000), 4)) for f in _FRACTIONS]
     return rows(spark, got, "fraction double, value double")
 
 
@@ -449,10 +468,48 @@ def path_pagerank(spark, sf):
 
 
 # ---- geo and text ----------------------------------------------------------------------
-@query("geo_quadtree")
+DEPTH = 12
+_POINTS = "SELECT '' AS prefix, l_extendedprice / 50000 - 1 AS a, l_quantity / 25.5 - 1 AS b FROM lineitem"
+
+
+def _level_sql(level: int) -> str:
+    """Open cells and points of the next level: each cell's noisy mean sign divides its points."""
+    mean = f"CASE WHEN coalesce(k, 0) = 0 THEN 0.5 ELSE {average('s', 'k', 1.0 / (level + 1))} END"
+    return f"""m{level} AS MATERIALIZED (SELECT prefix, n, {mean} AS mean FROM (SELECT prefix, n FROM c{level} WHERE n > 0)
+      LEFT JOIN (SELECT prefix, sum(sign(a))::DOUBLE AS s, count(*)::DOUBLE AS k FROM r{level} GROUP BY prefix) USING (prefix)),
+    c{level + 1} AS MATERIALIZED (SELECT prefix || '0' AS prefix, round_even((n - mean * n) / 2, 0)::BIGINT AS n FROM m{level}
+      UNION ALL SELECT prefix || '1', round_even((n + mean * n) / 2, 0)::BIGINT FROM m{level}),
+    r{level + 1} AS MATERIALIZED (SELECT prefix || CASE WHEN a > 0 THEN '1' ELSE '0' END AS prefix, b AS a, CASE WHEN a > 0 THEN 2 * a - 1 ELSE 2 * a + 1 END AS b FROM r{level})"""
+
+
+@query(
+    "geo_quadtree",
+    f"WITH r0 AS MATERIALIZED ({_POINTS}), c0 AS MATERIALIZED (SELECT '' AS prefix, round_even(count(*) + {LN2}, 0)::BIGINT AS n FROM lineitem), "
+    + ", ".join(_level_sql(i) for i in range(DEPTH))
+    + f" SELECT prefix, n AS points FROM c{DEPTH} WHERE n > 0",
+)
 def geo_quadtree(spark, sf):
     points = private(spark, sf, "lineitem").select((F.col("l_extendedprice") / 50000 - 1).alias("x0"), (F.col("l_quantity") / 25.5 - 1).alias("x1"))
-    return geo.leaves_frame(spark, geo.quadtree(points, None, 6))
+    return geo.leaves_frame(spark, geo.quadtree(points, None, DEPTH))
+
+
+@query(
+    "geo_cells",
+    """SELECT p AS prefix, lo0, hi0, lo1, hi1 FROM (VALUES ('', -1.0::DOUBLE, 1.0::DOUBLE, -1.0::DOUBLE, 1.0::DOUBLE), ('1', 0.0, 1.0, -1.0, 1.0), ('10', 0.0, 1.0, -1.0, 0.0),
+    ('0111', -0.5, 0.0, 0.5, 1.0), ('00000', -1.0, -0.75, -1.0, -0.5)) t(p, lo0, hi0, lo1, hi1)""",
+)
+def geo_cells(spark, sf):
+    return rows(spark, [(p, *geo.cell_of(p)) for p in ("", "1", "10", "0111", "00000")], "prefix string, lo0 double, hi0 double, lo1 double, hi1 double")
+
+
+@query("geo_map", "SELECT count(*) AS dots, true AS inside FROM nation")
+def geo_map(spark, sf):
+    """A page with a dot for every nation's cell, and the same dots as a table."""
+    cells = [(format(r["n_nationkey"], "05b"), 1) for r in table(spark, sf, "nation").collect()]
+    spots = list(geo.scatter(cells, random.Random(1)))
+    page, dots = maps.points_page(spots), maps.points_frame(spark, spots)
+    inside = F.min((F.abs("lat") <= 90) & (F.abs("lon") <= 180) & (F.length("prefix") == 5)) & F.lit(page.count("<circle") == len(spots))
+    return dots.agg(F.count(F.lit(1)).alias("dots"), inside.alias("inside"))
 
 
 @query(
@@ -494,4 +551,143 @@ def text_words(spark, sf):
     return rows(spark, [(k, round(v, 6)) for k, v in counts.items()], "words long, noisy_count double")
 
 
+
+# ---- sources, noise and policies ---------------------------------------------------------
+def _text_file(spark, sf, gzip: bool) -> str:
+    """Names of nations as a text file in the folder that driver and executors share."""
+    path = f"{shared_folder(spark)}/veilframe/nations-{uuid.uuid4().hex}"
+    table(spark, sf, "nation").select("n_name").write.option("compression", "gzip" if gzip else "none").text(path)
+    return path
+
+
+@query("source_text_lines", "SELECT n_name AS value FROM nation")
+def source_text_lines(spark, sf):
+    return reveal(PrivateFrame(readers.text_lines(spark, _text_file(spark, sf, False))))
+
+
+@query("source_gzip", f"SELECT round(count(*) + {LN2}, 6) AS noisy_count FROM nation WHERE contains(n_name, 'A')")
+def source_gzip(spark, sf):
+    frame = PrivateFrame(readers.text_lines(spark, _text_file(spark, sf, True)), noise=FixedUniform())
+    return rows(spark, [(round(text.lines_with(frame, "A"), 6),)], "noisy_count double")
+
+
+@query("source_prefixes", "SELECT DISTINCT substr(n_name, 1, k) AS prefix FROM nation, (SELECT unnest(range(0, 6)) AS k)")
+def source_prefixes(spark, sf):
+    return readers.prefixes(spark, _text_file(spark, sf, False), 5)
+
+
+@query("source_vectors", "SELECT 1000 AS n, 8 AS dims, true AS inside, true AS spread")
+def source_vectors(spark, sf):
+    every = readers.random_vectors(spark, 1000, 8).select(F.posexplode("vec").alias("i", "x"))
+    spread = (F.abs(F.avg("x")) < 0.1) & (F.abs(F.stddev("x") - 3**-0.5) < 0.05)
+    return every.agg((F.count(F.lit(1)) / 8).cast("int").alias("n"), (F.max("i") + 1).alias("dims"), F.min((F.col("x") >= -1) & (F.col("x") < 1)).alias("inside"), spread.alias("spread"))
+
+
+@query("source_edges", "SELECT 10000::BIGINT AS n, 1000::BIGINT AS sources, 1000::BIGINT AS targets, true AS inside")
+def source_edges(spark, sf):
+    inside = F.min(F.col("src").between(0, 999) & F.col("dst").between(0, 999))
+    return readers.random_edges(spark, 10_000, 1000).agg(F.count(F.lit(1)).alias("n"), F.count_distinct("src").alias("sources"), F.count_distinct("dst").alias("targets"), inside.alias("inside"))
+
+
+class _Fixed(NoiseSource):
+    """The library's own draws from a given uniform."""
+
+    def __init__(self, u: float):
+        super().__init__()
+        self._u = u
+
+    def unit(self) -> float:
+        return self._u
+
+
+@query(
+    "noise_draws",
+    f"""SELECT u, round(-sign(u - 0.5) * ln(1 - 2 * abs(u - 0.5)) * 3.0, 9) AS laplace, round(-2.0 + 5.0 * u, 9) AS uniform,
+    round({average('0.6', '2.0', 0.5).replace('0.75', 'u')}, 9) AS truncated FROM (SELECT unnest([0.001, 0.25, 0.4999, 0.5, 0.75, 0.999])::DOUBLE AS u)""",
+)
+def noise_draws(spark, sf):
+    draw = lambda u: (u, round(_Fixed(u).laplace(3.0), 9) + 0.0, round(_Fixed(u).uniform(-2.0, 3.0), 9), round(_Fixed(u).truncated_laplace(0.3, 2.0, -1.0, 1.0), 9))
+    return rows(spark, [draw(u) for u in (0.001, 0.25, 0.4999, 0.5, 0.75, 0.999)], "u double, laplace double, uniform double, truncated double")
+
+
+@query("random_source", "SELECT true AS differ, true AS inside, true AS centred")
+def random_source(spark, sf):
+    """The system's entropy: draws differ, lie where they should, and centre on zero."""
+    source = NoiseSource()
+    units, draws = [source.unit() for _ in range(4000)], sorted(source.laplace(1.0) for _ in range(4000))
+    return rows(spark, [(len(set(units)) > 3990, all(0 <= u < 1 for u in units), abs(draws[2000]) < 0.2)], "differ boolean, inside boolean, centred boolean")
+
+
+@query("scalar_functions", "SELECT n_nationkey, substr(n_name, 2, 3) AS part, round_even((n_nationkey - 7) / 2.0, 0)::DOUBLE AS half FROM nation")
+def scalar_functions(spark, sf):
+    nation = private(spark, sf, "nation")
+    return reveal(nation.select("n_nationkey", F.substring("n_name", 2, 3).alias("part"), F.rint((F.col("n_nationkey") - 7) / 2.0).alias("half")))
+
+
+class _Doubling(Agent):
+    """An agent of a user: every charge counts twice."""
+
+    def __init__(self):
+        self.total = 0.0
+
+    def _charge(self, eps: float) -> bool:
+        self.total += 2 * eps
+        return True
+
+
+class _Named(PrivateFrame):
+    """A frame of a user, which all its results are as well."""
+
+
+class _Positive(Guard):
+    """A policy of a user: only filters on ``value`` may stand."""
+
+    def where(self, df, condition):
+        if "value" not in str(condition):
+            raise GuardError("only value may be asked for")
+        return super().where(df, condition)
+
+
+@query("policies", "SELECT count(*) FILTER (value > 0) AS kept, true AS refused, true AS same_class, true AS base_class, 1.0::DOUBLE AS charged FROM events")
+def policies(spark, sf):
+    """A user's agent, guard and frame class are kept by every transformation; ``as_base`` leaves the class only."""
+    agent = _Doubling()
+    frame = _Named(table(spark, sf, "events"), agent, _Positive(), FixedUniform(0.5))
+    kept = frame.where(F.col("value") > 0)
+    try:
+        kept.as_base().where(F.col("user_id") > 0)
+        refused = False
+    except GuardError:
+        refused = True
+    n = kept.as_base().materialize().noisy_count(0.5)
+    return rows(spark, [(round(n - 2 * math.log(2)), refused, type(kept.select("value")) is _Named, type(kept.as_base()) is PrivateFrame, agent.total)], "kept long, refused boolean, same_class boolean, base_class boolean, charged double")
+
+
+@query(
+    "joins_with_public_tables",
+    f"""SELECT 'groups' AS kind, count(*) AS n FROM ({_ORDERS}) JOIN ({_CUSTOMERS}) USING (key)
+    UNION ALL SELECT 'bounded', count(*) FROM (SELECT * FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) <= 2) JOIN customer ON o_custkey = c_custkey
+    UNION ALL SELECT 'left', count(*) FROM ({_CUSTOMERS})
+    UNION ALL SELECT 'concat', (SELECT count(*) FROM customer) + (SELECT count(*) FROM supplier) UNION ALL SELECT 'union', (SELECT count(*) FROM nation)
+    UNION ALL SELECT 'charge', 2 + 2 + 2 + 1 + 1""",
+)
+def joins_with_public_tables(spark, sf):
+    """The public-other forms: only this side pays."""
+    audit = AuditAgent("public")
+    orders, customers = private(spark, sf, "orders", agent=audit), private(spark, sf, "customer", agent=audit)
+    customer, supplier, nation = (table(spark, sf, t) for t in ("customer", "supplier", "nation"))
+    one = F.count(F.lit(1)).alias("n")
+    frames = {
+        "groups": orders.join_groups(customer, "o_custkey", "c_custkey", [one], [F.max("c_acctbal").alias("b")]),
+        "bounded": orders.join(customer, "o_custkey", "c_custkey", 2, 1, [F.col("l.o_orderkey")], "o_orderkey", "c_name"),
+        "left": customers.left_join_groups(orders.select("o_custkey")._df, "c_custkey", "o_custkey", [one], [F.count(F.lit(1)).alias("m")]),
+        "concat": customers.select(F.col("c_nationkey").alias("k")).concat(supplier.select(F.col("s_nationkey").alias("k"))),
+        "union": customers.select(F.col("c_nationkey").alias("k")).union(nation.select(F.col("n_nationkey").alias("k"))),
+    }
+    counts = [(kind, reveal(f).count()) for kind, f in frames.items()]
+    for frame in frames.values():
+        frame.noisy_count(1.0)
+    return rows(spark, [*counts, ("charge", int(audit.total))], "kind string, n long")
+
+
 assert math.isclose(FixedUniform().laplace(1.0), math.log(2))

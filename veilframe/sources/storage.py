@@ -13,6 +13,22 @@ def checkpoint_dir(spark: SparkSession) -> str | None:
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names; in a session of one process that names none (as in tests), a temporary one."""
+    folder = checkpoint_dir(spark)
+    if folder is None:
+        if not _one_process(spark):
+            raise RuntimeError("name a folder that driver and executors share in spark.checkpoint.dir")
+        folder = tempfile.mkdtemp(prefix="veilframe-checkpoint-")
+        spark.sparkContext.setCheckpointDir(folder)
+    return folder.rstrip("/")
+
+
+def _one_process(spark: SparkSession) -> bool:
+    master = spark.sparkContext.master
+    return master.startswith("local") and not master.startswith("local-cluster")
+
+
 def pinned(df: DataFrame) -> DataFrame:
     """The same rows without their lineage, from the shared checkpoint folder.
 
@@ -22,10 +38,7 @@ def pinned(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        folder = checkpoint_dir(spark)
-        if folder is None and sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-            folder = tempfile.mkdtemp(prefix="veilframe-checkpoint-")
-        if folder is None:
+        if checkpoint_dir(spark) is None and not _one_process(spark):
             return df.persist(StorageLevel.MEMORY_AND_DISK)
-        sc.setCheckpointDir(folder)
+        sc.setCheckpointDir(shared_folder(spark))
     return df.checkpoint(eager=True)
