@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -76,6 +78,28 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
+_KEPT: dict[str, Callable[[], None]] = {}
+
+
+def keeps(module: str, empty: Callable[[], None]) -> None:
+    """``module`` keeps memory in this Python process that ``empty`` lets go."""
+    _KEPT[module] = empty
+
+
+def forget(*but: str) -> None:
+    """Let go what other modules keep in this Python process; workers are reused from stage to stage."""
+    for module, empty in _KEPT.items():
+        if module not in but:
+            empty()
+    _trim()
+
+
+def _trim() -> None:
+    """Give freed memory back to the system where the C library can."""
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def append_columns(
     df: DataFrame,
     fields: Sequence[T.StructField],
@@ -95,6 +119,7 @@ def append_columns(
     names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(worker.__module__)
         made = worker()
         for batch in batches:
             arrays = [batch.column(batch.schema.get_field_index(n)) for n in names]
@@ -129,6 +154,7 @@ def map_groups(
         return np.flatnonzero(new)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget(work.__module__)
         held, size = [], 0
         for batch in batches:
             if not batch.num_rows:

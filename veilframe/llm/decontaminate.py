@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.llm.common import append_columns, name, small_batches, written
+from veilframe.llm.common import append_columns, keeps, name, small_batches, written
 
 BLOCK = 5  # words of a key
 DIGIT = 1024  # a word's number is written in digits of this base, so that no node has too many children
@@ -201,6 +201,7 @@ def contamination(
 
 
 _BUILT: dict[str, Matcher] = {}  # the last one of this Python process
+keeps(__name__, _BUILT.clear)
 
 
 def _worker(items: list[tuple[str | None, str | None]], text_col: str, window: int, first: bool):

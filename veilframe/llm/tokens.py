@@ -21,13 +21,15 @@ import json
 import re
 from array import array
 
+from veilframe.llm.common import forget, keeps
+
 _LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 _INSIDE = re.compile(rf'(?<=[{_LETTERS}])(?=[\n!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{{|}}~])|(?<=\S\n)(?=[{_LETTERS}])')
 _WORD = re.compile(rf"[{_LETTERS}]+")
 _SIMPLE = re.compile(rf'([{_LETTERS}]+)([!"#$%&()*+,\-./:;<=>?@\[\\\]^_`{{|}}~]*)')
 _GLUED = re.compile(r"(?<=\S) ")
 _ODD_SPACE = re.compile(r"\s ")
-MEMORY = 600_000  # entries of each memory
+MEMORY = 400_000  # entries of each memory
 LONGEST = 64  # characters of a piece worth remembering
 
 
@@ -155,6 +157,10 @@ _ENCODERS: dict[str, Encoder] = {}
 
 def encoder(path: str) -> Encoder:
     """One encoder per file and Python process; workers are reused, so are its memories."""
+    forget(__name__)
     if path not in _ENCODERS:
         _ENCODERS[path] = Encoder(path)
     return _ENCODERS[path]
+
+
+keeps(__name__, _ENCODERS.clear)

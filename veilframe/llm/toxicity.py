@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from veilframe.llm.common import append_columns, name, small_batches
+from veilframe.llm.common import append_columns, forget, name, small_batches
 
 TRAIN_ROWS = 12_000  # labelled documents on which the model is fitted, at most
 TRAIN_BYTES = 48 << 20  # of UTF-8 text in them, at most
@@ -134,24 +134,29 @@ def fit(rows: Iterable[tuple[str, int]], epochs: int = EPOCHS) -> Model:
             shares[f] = shares.get(f, 0) + n
     index = {f: i for i, f in enumerate(sorted(f for f, n in shares.items() if n >= LEAST_DOCS))}
     del shares
-    parts = [(i, index[f]) for word, i in words.items() for f in features(word) if f in index]
-    part_word, part = (np.array(c, np.int32) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int32),) * 2
-    del parts
-    column, length, owner = (np.frombuffer(c, np.int32) for c in (columns, lengths, owners))
+    part_words, parts = array("i"), array("i")
+    for word, i in words.items():
+        for f in features(word):
+            if f in index:
+                part_words.append(i)
+                parts.append(index[f])
+    n_words = len(words)
+    words.clear()
+    column, length, owner, part_word, part = (np.frombuffer(c, np.int32) if c else np.zeros(0, np.int32) for c in (columns, lengths, owners, part_words, parts))
     row = np.repeat(np.arange(len(length), dtype=np.int32), length)
     y = np.array(labels, np.float64)
     w, bias = np.zeros(len(index)), -6.0
     moments = [np.zeros(len(index) + 1), np.zeros(len(index) + 1)]
     share, strength = 1.0 - 2.0 * FLIPPED, 2e-5
     for step in range(1, epochs + 1):
-        by_word = np.bincount(part_word, w[part], len(words))
+        by_word = np.bincount(part_word, w[part], n_words)
         z = np.clip(bias + np.bincount(row, by_word[column], len(length)), -40, 40)
         p = 1.0 / (1.0 + np.exp(-z))
         clean = np.exp(np.bincount(owner, -np.logaddexp(0, z), len(y)))
         observed = FLIPPED + share * (1.0 - clean)
         slope = np.where(y > 0, share / observed, -share / (1.0 - observed)) * clean
         push = slope[owner] * p
-        pull = np.bincount(column, push[row], len(words))
+        pull = np.bincount(column, push[row], n_words)
         gradient = np.append(np.bincount(part, pull[part_word], len(index)), push.sum()) / len(y)
         gradient[:-1] -= strength * np.sign(w) + strength * w
         moments[0] = 0.9 * moments[0] + 0.1 * gradient
@@ -206,9 +211,11 @@ def train(
     one_task = rows_of.select("text", "y", "place").repartition(1).sortWithinPartitions("place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        forget()
         model = fit((t.as_py(), y) for b in batches for t, y in zip(b.column(0), b.column(1).to_pylist(), strict=True))
         features = [None, *model.weights]
         yield pa.RecordBatch.from_arrays([pa.array(features, pa.string()), pa.array([model.bias, *model.weights.values()], pa.float64())], names=["feature", "weight"])
+        forget()
 
     weights = {r["feature"]: r["weight"] for r in one_task.mapInArrow(run, "feature string, weight double").collect()}
     return Model(weights.pop(None), weights)
