@@ -27,9 +27,10 @@ def centre(frame: PrivateFrame, vector: str, means: Vector) -> PrivateFrame:
 
 def covariance(frame: PrivateFrame, vector: str, dims: int, eps: float, symmetric: bool = False) -> list[list[float]]:
     """Noisy averages of all products; ``symmetric`` buys each unordered pair once, for half the price."""
-    x = _items(F.col(vector), dims)
+    v = F.slice(F.col(vector), 1, dims)
+    products = F.transform(v, lambda x, i: F.transform(F.slice(v, i + 1, F.size(v)) if symmetric else v, lambda y: x * y))
     cells = [(i, j) for i in range(dims) for j in range(i if symmetric else 0, dims)]
-    values = dict(zip(cells, frame.noisy_averages(eps, [x[i] * x[j] for i, j in cells]), strict=True))
+    values = dict(zip(cells, frame.noisy_array_averages(eps, F.flatten(products), len(cells)), strict=True))
     return [[values[min(i, j), max(i, j)] if symmetric else values[i, j] for j in range(dims)] for i in range(dims)]
 
 

@@ -28,7 +28,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
 LN2 = "ln(2)"
-DIMS = 8
+DIMS = 64
 CENTRES = [[0.05 * ((i + j) % 3 - 1) for j in range(64)] for i in range(3)]
 WEIGHTS = [0.1 if j % 2 else -0.1 for j in range(64)]
 
@@ -395,7 +395,7 @@ def ml_error_rate(spark, sf):
 
 
 # ---- graph ------------------------------------------------------------------------------
-BOUND = 3
+BOUND = 10
 _EDGES = "SELECT l_orderkey AS src, l_partkey AS dst FROM lineitem"
 _BOUNDED = f"""e0 AS ({_EDGES}),
     e1 AS (SELECT * FROM e0 QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= {BOUND}),
@@ -430,14 +430,14 @@ def bound_degree_cheap(spark, sf):
 @query(
     "assortativity",
     f"""WITH {_BOUNDED}, n AS (SELECT src AS node, count(*) AS n FROM e GROUP BY src),
-    one AS (SELECT f.src, f.dst, n.n AS d1 FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= 6) f JOIN n ON f.src = n.node),
-    two AS (SELECT f.d1, n.n AS d2 FROM (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY dst ORDER BY src) <= 6) f JOIN n ON f.dst = n.node)
+    one AS (SELECT f.src, f.dst, n.n AS d1 FROM (SELECT * FROM e QUALIFY row_number() OVER (PARTITION BY src ORDER BY dst) <= {2 * BOUND}) f JOIN n ON f.src = n.node),
+    two AS (SELECT f.d1, n.n AS d2 FROM (SELECT * FROM one QUALIFY row_number() OVER (PARTITION BY dst ORDER BY src) <= {2 * BOUND}) f JOIN n ON f.dst = n.node)
     SELECT a AS d1, b AS d2, round(count(two.d1) + 10 * {LN2}, 6) AS noisy_count
-    FROM (SELECT unnest(range(1, 6)) AS a) CROSS JOIN (SELECT unnest(range(1, 6)) AS b) LEFT JOIN two ON two.d1 = a AND two.d2 = b GROUP BY a, b""",
+    FROM (SELECT unnest(range(8, 13)) AS a) CROSS JOIN (SELECT unnest(range(8, 13)) AS b) LEFT JOIN two ON two.d1 = a AND two.d2 = b GROUP BY a, b""",
 )
 def assortativity(spark, sf):
     edges = graph.bound_degree(_edges(spark, sf), BOUND, cheap=True)
-    counts = graph.assortativity(edges, range(1, 6), 2 * BOUND, 0.1)
+    counts = graph.assortativity(edges, range(8, 13), 2 * BOUND, 0.1)
     return rows(spark, [(*k, round(v, 6)) for k, v in counts.items()], "d1 long, d2 long, noisy_count double")
 
 
