@@ -14,9 +14,10 @@ from pyspark.sql import functions as F
 from veilframe.llm.common import checkpointed, estimated_bytes, name, written
 
 HASH_BITS = 60  # of the MD5 of the key
-LIMIT = 32 << 20
+LIMIT = 1 << 20
 SPARE_BITS = 6  # finer than needed on average, for the first count
 MORE_BITS = 8  # further bits for what is still too large
+FINE_BITS = 9  # levels that are summed from single cells; those above are summed from sums of these
 
 
 def key_hash(key: Column) -> Column:
@@ -28,18 +29,35 @@ def _prefix(bits: int) -> Column:
     return F.shiftright("hash", HASH_BITS - bits)
 
 
+def _first_fit(cells: DataFrame, limit: int, low: int, high: int) -> DataFrame:
+    """(cell, depth): the least depth from ``low`` to ``high`` at which the bucket of a ``high``-bit cell fits; null if none."""
+    levels = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"))
+    levels = levels.withColumn("bucket", F.expr(f"shiftright(cell, {high} - depth)"))
+    fits = levels.groupBy("depth", "bucket").agg((F.sum("bytes") <= limit).alias("fits"))
+    found = levels.join(fits.where("fits"), ["depth", "bucket"]).groupBy("cell").agg(F.min("depth").alias("depth"))
+    return cells.select("cell", "bytes").join(found, "cell", "left")
+
+
 def directory(rows: DataFrame, limit: int, low: int, high: int) -> DataFrame:
     """(cell, depth): the depth at which the bucket of each ``high``-bit prefix first fits, null if not yet.
 
     ``rows`` have (hash, size). They are counted once by their ``high``-bit
     prefix; the buckets at all depths from ``low`` on are sums of these counts.
+    The upper levels are decided on sums ``FINE_BITS`` further up, and only cells
+    whose bucket there is too large take part in the lower ones, so that the
+    work is a few times the number of cells at any depth.
     """
     cells = rows.groupBy(_prefix(high).alias("cell")).agg(F.sum("size").alias("bytes"))
-    levels = cells.select("cell", "bytes", F.explode(F.sequence(F.lit(low), F.lit(high))).alias("depth"))
-    levels = levels.withColumn("bucket", F.expr(f"shiftright(cell, {high} - depth)"))
-    fits = levels.groupBy("depth", "bucket").agg((F.sum("bytes") <= limit).alias("fits"))
-    found = levels.join(fits.where("fits"), ["depth", "bucket"]).groupBy("cell").agg(F.min("depth").alias("depth"))
-    return cells.select("cell").join(found, "cell", "left")
+    middle = high - FINE_BITS
+    if middle <= low:
+        return _first_fit(cells, limit, low, high).select("cell", "depth")
+    cells = checkpointed(cells)
+    upper = F.shiftright("cell", high - middle)
+    above = cells.groupBy(upper.alias("upper")).agg(F.sum("bytes").alias("bytes")).withColumnRenamed("upper", "cell")
+    top = checkpointed(_first_fit(above, limit, low, middle)).select(F.col("cell").alias("upper"), F.col("depth").alias("above"))
+    placed = cells.withColumn("upper", upper).join(top, "upper")
+    fine = _first_fit(placed.where("above is null").select("cell", "bytes"), limit, middle + 1, high).select("cell", "depth")
+    return fine.unionByName(placed.where("above is not null").select("cell", F.col("above").alias("depth")))
 
 
 def assign(docs: DataFrame, id_col: str = "doc_id", size: Column | None = None, limit: int = LIMIT) -> DataFrame:
@@ -49,8 +67,9 @@ def assign(docs: DataFrame, id_col: str = "doc_id", size: Column | None = None,
     (equal keys) cannot be told apart by bits; where they are over the limit
     together, they are dealt to overflow pages of the bucket, each within the
     limit. Only a single row over the limit has a larger shard, alone. ``size``
-    defaults to the UTF-8 bytes of ``text``; nulls have no bytes. All rows keep
-    their own results, repeated ones too; an empty table gives none.
+    defaults to the UTF-8 bytes of ``text``; nulls have no bytes, null ids one key. All rows keep
+    their own results, repeated ones too; an empty table gives none. Texts are
+    measured and not moved, however long; other columns are not read.
     """
     if limit < 1:
         raise ValueError("the byte limit must be at least 1")
