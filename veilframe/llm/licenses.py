@@ -14,7 +14,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import name, written
+from veilframe.llm.common import BROADCAST_ROWS, checkpointed, name, written
 
 # Public licence notices.
 TEMPLATES = [
@@ -53,6 +53,7 @@ WRAPPED = r"(?i)free software|source code form"  # begins a header whose licence
 SENTENCE = r"\n+|(?<=[.!?;])\s+"
 WORD = r"[a-z0-9]++(?:[.-][a-z0-9]++)*+"  # possessive: Java does not recurse for each part of a long dotted word
 SIMILAR = 0.8
+SALTS = 32
 
 
 def _words(text: Column) -> Column:
@@ -105,14 +106,17 @@ def passages(docs: DataFrame, id_col: str, text_col: str, path: Column) -> DataF
     return written(rows.withColumn("key", F.md5("whole")), "licences")
 
 
-def _scores(spark: SparkSession, texts: DataFrame) -> DataFrame:
+def _scores(spark: SparkSession, texts: DataFrame, similar: float) -> DataFrame:
     """(passage, header, template, license, cosine): the best template of each distinct passage, headers apart.
 
     ``texts`` has (passage, words, n): the keys of distinct passages, their words
     and in how many rows each occurs. Document frequencies count all these rows, so a copied passage weighs
-    as often as it occurs but is compared once.
+    as often as it occurs but is compared once. They are numbered, so that long
+    keys are not repeated for each word.
     """
     known = templates(spark)
+    numbered = written(texts.select(F.monotonically_increasing_id().alias("no"), "passage", "words", "n"), "licence-passages")
+    keys, texts = numbered.select("no", "passage"), numbered.select(F.col("no").alias("passage"), "words", "n")
     total = texts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
     terms = texts.select("passage", "n", F.explode(F.split("words", " ")).alias("term")).groupBy("passage", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
     df = terms.groupBy("term").agg(F.sum("n").alias("df"))
@@ -129,7 +133,8 @@ def _scores(spark: SparkSession, texts: DataFrame) -> DataFrame:
     scored = dots.join(x_norm, "passage").select("passage", F.struct(cosine.alias("cosine"), (-F.col("template")).alias("order"), "template", "license").alias("best"))
     header = F.col("best.template").between(len(TEMPLATES), len(TEMPLATES) + len(HEADERS) - 1)
     best = scored.groupBy("passage", header.alias("header")).agg(F.max("best").alias("best"))
-    return best.select("passage", "header", "best.template", "best.license", "best.cosine")
+    best = best.select(F.col("passage").alias("no"), "header", "best.template", "best.license", "best.cosine").where(F.col("cosine") >= similar)
+    return best.join(keys, "no").drop("no")
 
 
 def licences(
@@ -148,9 +153,12 @@ def licences(
     counts, then the licence first by name.
 
     Null texts have no licence of their own, null paths lie in the top
-    directory. Repeated rows keep their own results. Only rows with licence-like
-    words are cut into words; distinct passages are compared once, and only
-    distinct directories are joined with their ancestors.
+    directory. Repeated rows keep their own results; an empty table gives no
+    rows; texts are read whole, and columns other than those named are not read.
+    Only rows with licence-like words are cut into words; distinct passages are
+    compared once, and only distinct directories are joined with their ancestors.
+    The licences of directories are broadcast while they are few; beyond, each is
+    dealt to ``SALTS`` places, so that a directory with very many files is not in one.
     """
     spark = docs.sparkSession
     rows = passages(docs, id_col, text_col, path)
@@ -161,7 +169,7 @@ def licences(
     # Blocks repeat words of the files, so they are compared but not counted.
     texts = files.unionByName(heads).withColumn("one", F.lit(1)).unionByName(blocks.withColumn("one", F.lit(0)))
     texts = texts.groupBy("passage").agg(F.min("words").alias("words"), F.sum("one").alias("n"))
-    scores = written(_scores(spark, texts).where(F.col("cosine") >= similar), "licence-scores")
+    scores = written(_scores(spark, texts, similar), "licence-scores")
 
     whole = scores.where("not header").select(F.col("passage").alias("key"), F.struct(F.col("cosine"), F.col("license")).alias("file"))
     sentence = scores.select("passage", F.struct(F.col("cosine"), (-F.col("template")).alias("order"), F.col("license")).alias("head"))
@@ -176,7 +184,7 @@ def licences(
     folders = rows.select(directory_of(F.col("path")).alias("folder")).distinct()
     up = folders.select("folder", F.explode(ancestors(F.col("folder"))).alias("a")).select("folder", F.col("a.folder").alias("above"), F.col("a.parts").alias("parts"))
     nearest = up.join(covers, "above").groupBy("folder").agg(F.max(F.struct("parts", "license", "cosine")).alias("near")).select("folder", "near")
-    out = found.join(nearest, "folder", "left")
+    out = _by_folder(found, checkpointed(nearest))
     origin = F.when(F.col("file").isNotNull(), "file").when(F.col("head").isNotNull(), "header").when(F.col("near").isNotNull(), "inherited").otherwise("none")
     return out.select(
         "id",
@@ -187,6 +195,14 @@ def licences(
     )
 
 
+def _by_folder(found: DataFrame, nearest: DataFrame, most: int = BROADCAST_ROWS) -> DataFrame:
+    """Every row of ``found`` with what is known of its folder."""
+    if nearest.count() <= most:
+        return found.join(F.broadcast(nearest), "folder", "left")
+    dealt = nearest.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return found.withColumn("salt", F.pmod(F.xxhash64("id", "path"), F.lit(SALTS)).cast("int")).join(dealt, ["folder", "salt"], "left").drop("salt")
+
+
 def oracle(similar: float = SIMILAR) -> str:
     """DuckDB SQL for :func:`licences` of documents with distinct ids under source/language/id."""
     quoted = lambda p: "'" + p.replace("'", "''") + "'"
