@@ -111,7 +111,8 @@ def pack(
     one piece; offsets within a sequence have no gaps.
 
     Null texts are empty: one piece with the end id alone. Repeated rows are
-    packed as often as they come. An empty table gives no piece. Tasks pack
+    packed as often as they come; texts of any length are encoded whole and cut.
+    Rows without an id are packed under a null id. An empty table gives no piece. Tasks pack
     their rows without a shuffle, so the input should be a table or another
     source that gives a re-run task the same rows in the same order.
     """
@@ -180,5 +181,5 @@ def pack(
 
 
 def digest(pieces: DataFrame) -> DataFrame:
-    """The contract's columns of a result of :func:`pack`."""
-    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
+    """The contract's columns of a result of :func:`pack`, and the loss-bearing tokens of each piece."""
+    return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "loss_tokens")
