@@ -4,7 +4,7 @@ A store is a folder of Parquet tables that Spark writes and commits:
 
 * ``dictionary``: one row (hash, bytes, width) - the dictionary trained on
   serialised id arrays, its SHA-256, and the bytes per id;
-* ``blocks``: rows (shard, block, dict_hash, payload, and arrays over the
+* ``blocks``: partitioned by shard, rows (block, dict_hash, payload, and arrays over the
   documents inside: doc_ids, offsets, lengths, starts, counts). ``payload`` holds
   the frames end to end, so a document is read without its neighbours;
 * ``shards``: rows (shard, base) - ids before each shard;
@@ -112,19 +112,7 @@ def write_store(
     spark.createDataFrame(row, "hash string, bytes binary, width int").coalesce(1).write.parquet(f"{folder}/dictionary")
 
     id_type = docs.schema[id_col].dataType
-    schema = T.StructType(
-        [
-            T.StructField("shard", T.LongType()),
-            T.StructField("block", T.LongType()),
-            T.StructField("dict_hash", T.StringType()),
-            T.StructField("payload", T.BinaryType()),
-            T.StructField("doc_ids", T.ArrayType(id_type)),
-            T.StructField("offsets", T.ArrayType(T.LongType())),
-            T.StructField("lengths", T.ArrayType(T.LongType())),
-            T.StructField("starts", T.ArrayType(T.LongType())),
-            T.StructField("counts", T.ArrayType(T.LongType())),
-        ]
-    )
+    schema = _schema(id_type)
     arrow, id_arrow, end = to_arrow_schema(schema), to_arrow_type(id_type), array("I", [end_id]).tobytes()
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -165,7 +153,8 @@ def write_store(
 
     rows = docs.select(name(id_col).alias("id"), name(text_col).cast("string").alias("text"))
     ordered = rows.repartitionByRange("id").sortWithinPartitions("id", "text")
-    ordered.mapInArrow(encode, schema).write.parquet(f"{folder}/blocks")
+    encoded = ordered.mapInArrow(encode, schema)  # a task is a shard; a row group holds about one block
+    encoded.write.option("parquet.block.size", 2 * BLOCK_BYTES).partitionBy("shard").parquet(f"{folder}/blocks")
 
     blocks = spark.read.schema(schema).parquet(f"{folder}/blocks")
     totals = blocks.select("shard", F.aggregate("counts", F.lit(0).cast("long"), lambda s, x: s + x).alias("n")).groupBy("shard").agg(F.sum("n").alias("n"))
@@ -177,6 +166,22 @@ def write_store(
     return folder
 
 
+def _schema(id_type: T.DataType) -> T.StructType:
+    return T.StructType(
+        [
+            T.StructField("shard", T.LongType()),
+            T.StructField("block", T.LongType()),
+            T.StructField("dict_hash", T.StringType()),
+            T.StructField("payload", T.BinaryType()),
+            T.StructField("doc_ids", T.ArrayType(id_type)),
+            T.StructField("offsets", T.ArrayType(T.LongType())),
+            T.StructField("lengths", T.ArrayType(T.LongType())),
+            T.StructField("starts", T.ArrayType(T.LongType())),
+            T.StructField("counts", T.ArrayType(T.LongType())),
+        ]
+    )
+
+
 def _vocabulary(path: str) -> int:
     from tokenizers import Tokenizer
 
@@ -218,10 +223,16 @@ def _unpacker(dictionary: bytes, width: int, digest: str):
     return unpack
 
 
+def _blocks(spark: SparkSession, folder: str) -> DataFrame:
+    """The blocks of a store; the index tells the type of ids, also where there is no block."""
+    id_type = spark.read.parquet(f"{folder}/index").schema["doc_id"].dataType
+    return spark.read.schema(_schema(id_type)).parquet(f"{folder}/blocks")
+
+
 def read_store(spark: SparkSession, folder: str) -> DataFrame:
     """All documents of a store: doc_id, start, n_tokens and ids (little-endian unsigned 32-bit)."""
     dictionary, width, digest = _dictionary(spark, folder)
-    blocks = spark.read.parquet(f"{folder}/blocks")
+    blocks = _blocks(spark, folder)
     shards = spark.read.schema("shard long, base long").parquet(f"{folder}/shards")
     id_type = blocks.schema["doc_ids"].dataType.elementType
     schema = T.StructType(
@@ -243,11 +254,18 @@ def read_store(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def fetch(spark: SparkSession, folder: str, doc_ids: Sequence) -> DataFrame:
-    """Only these documents: the index names their blocks, and only their frames are decompressed."""
+    """Only these documents: the index names their blocks, only these are read, and only their frames decompressed."""
     dictionary, width, digest = _dictionary(spark, folder)
     wanted = spark.read.parquet(f"{folder}/index").filter(F.col("doc_id").isin(list(doc_ids)))
-    blocks = spark.read.parquet(f"{folder}/blocks").select("shard", "block", "payload")
-    frames = wanted.join(blocks, ["shard", "block"]).select(
+    places = wanted.select("shard", "block").distinct().collect()  # no more than ids were asked for, but for repeated ones
+    held: dict[int, list[int]] = {}
+    for place in places:
+        held.setdefault(place["shard"], []).append(place["block"])
+    near = F.lit(False)
+    for shard, numbers in held.items():
+        near = near | ((F.col("shard") == shard) & F.col("block").isin(numbers))
+    blocks = _blocks(spark, folder).where(F.col("shard").isin(list(held)) & F.col("block").isin(sorted({b for n in held.values() for b in n})) & near)
+    frames = wanted.join(blocks.select("shard", "block", "payload"), ["shard", "block"]).select(
         "doc_id", "start", "n_tokens", "dict_hash", F.expr("substring(payload, int(offset) + 1, int(length))").alias("frame")
     )
 
