@@ -211,7 +211,6 @@ def links(prints: DataFrame, budget: int = 2, task_rows: int = TASK_ROWS) -> Dat
         "t.code",
         "rep",
     )
-    rows = checkpointed(rows)
     ready = None
     while True:
         sizes = rows.groupBy("trie", "pair").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("side").alias("sides"), F.max("side").alias("last"))
@@ -300,16 +299,18 @@ def near_duplicates(
 
     Texts whose fingerprints differ in at most ``budget`` bits are linked. Null
     and empty texts have fingerprint zero and are linked like any other; texts of
-    fewer than ``shingle`` words have one shingle. Repeated rows and ids stay as
-    they are. Rows without an id get the component of their fingerprint. An empty
-    table gives no rows. Columns other than the two named are not read.
+    fewer than ``shingle`` words have one shingle. Texts are taken whole. Repeated
+    rows and ids stay as they are. Rows without an id link like any other, too;
+    a component has no id only if none of its rows has one. An empty table gives
+    no rows. Columns other than the two named are not read.
     """
     marked = docs.select(name(id_col).alias("id"), name(text_col).cast("string").alias("text"))
     marked = written(with_fingerprints(marked, "text", shingle, seed, keep_text=False), "simhash")
-    prints = checkpointed(marked.groupBy("simhash").agg(F.min("id").alias("rep")))
-    roots = components(links(prints.where("rep is not null"), budget))
-    classes = prints.join(roots, prints["rep"] == roots["node"], "left").select("simhash", F.coalesce("root", "rep").alias("component_id"))
-    return marked.join(classes, "simhash").select("id", "simhash", "component_id")
+    prints = checkpointed(marked.groupBy("simhash").agg(F.min("id").alias("first")))
+    roots = components(links(prints.select("simhash", F.col("simhash").alias("rep")), budget))
+    classes = prints.join(roots, prints["simhash"] == roots["node"], "left").select("simhash", "first", F.coalesce("root", "simhash").alias("root"))
+    least = classes.groupBy("root").agg(F.min("first").alias("component_id"))
+    return marked.join(classes.join(least, "root").select("simhash", "component_id"), "simhash").select("id", "simhash", "component_id")
 
 
 def digest(found: DataFrame) -> DataFrame:
