@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 import time
@@ -11,7 +12,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe.llm import chat, licenses, lists, secrets, sharding
+from veilframe.llm import chat, licenses, lists, queries, secrets, sharding
 
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 LIVE = "Ab3xYz9QwErTy7UiOpLk2"
@@ -344,3 +345,57 @@ def test_runs_of_one_case_are_found_by_their_turns(spark):
     docs = spark.createDataFrame([(i, f"see {k} here", "s") for i, k in enumerate(keys)], "doc_id long, text string, source string")
     got = {r.doc_id: r.spans for r in secrets.digest(secrets.secrets(docs, owner=F.col("source"), repo=F.col("source"))).collect()}
     assert [got[i] != "" for i in range(5)] == [True, True, True, False, False]
+
+
+def test_licence_query_equals_its_sql_on_planted_paths(spark):
+    rows = [(i, t, s, lang) for i, (t, s, lang) in enumerate([
+        ("Released under the MIT License.", "web", "en"),
+        ("plain code", "web", "en"),
+        ("plain code", "web", "de"),
+        ("code\nLicensed under CC BY 4.0.\nmore code", "web", "en"),
+        ("This work is licensed under the GNU General Public License, version 3.", "books", "fr"),
+        ("This work is licensed under the GNU General Public License, version 2.", "books", "fr"),
+        ("nothing here", "books", "fr"),
+        ("copyright law is a matter of licence fees", "books", "fr"),
+        (None, "books", "fr"),
+        ("", "news", "en"),
+        ("code a1.b2-c3 license of a..b and c--d", "news", "en"),
+    ])]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, lang string")
+    path = F.concat_ws("/", "source", "lang", F.col("doc_id").cast("string"))
+    got = sorted((r.id, r.path, r.license, r.origin, r.cosine) for r in licenses.licences(docs, path).collect())
+    con = duckdb.connect()
+    con.execute("create table documents (doc_id bigint, text varchar, source varchar, lang varchar)")
+    con.executemany("insert into documents values (?, ?, ?, ?)", rows)
+    want = sorted(con.sql("select doc_id, path, license, origin, cosine from (" + licenses.oracle() + ")").fetchall())
+    assert got == want and {o for *_, o, _ in got} == {"file", "inherited", "header", "none"}
+
+
+def test_licences_of_many_folders_are_dealt_by_salt(spark, monkeypatch):
+    rows = [(0, "big/LICENSE", "Released under the MIT License."), (1, "small/LICENSE", "Licensed under CC BY 4.0.")]
+    rows += [(i, f"big/f{i}", "x") for i in range(2, 400)] + [(400, "small/sub/x", "y"), (401, "none/x", "z")]
+    docs = spark.createDataFrame(rows, "doc_id long, path string, text string")
+    few = sorted(map(tuple, licenses.licences(docs, F.col("path")).collect()))
+    whole = licenses._by_folder
+    monkeypatch.setattr(licenses, "_by_folder", lambda a, b: whole(a, b, most=0))
+    assert sorted(map(tuple, licenses.licences(docs, F.col("path")).collect())) == few and sum(r[3] == "inherited" for r in few) == 399
+
+
+def test_deep_directories_of_shards(spark):
+    rng = random.Random(8)
+    rows = [(i, rng.choice([0, 1, 5, 30, 49])) for i in range(6000)]
+    docs = spark.createDataFrame([(i, "x" * n) for i, n in rows], "doc_id long, text string")
+    hashed = docs.select(sharding.key_hash(F.col("doc_id")).alias("hash"), F.length("text").alias("size"))
+    plain = sharding._first_fit(hashed.groupBy(F.shiftright("hash", 60 - 14).alias("cell")).agg(F.sum("size").alias("bytes")), 300, 0, 14).select("cell", "depth")
+    stepped = sharding.directory(hashed, 300, 0, 14)
+    assert sorted(map(tuple, plain.collect())) == sorted(map(tuple, stepped.collect()))
+    want = brute_shards(rows, 300)
+    got = {r.id: (r.shard, r.depth) for r in sharding.assign(docs, limit=300).collect()}
+    assert all(got[i] == want[k] for k, (i, _) in enumerate(rows)) and max(d for _, d in got.values()) > 8
+
+
+def test_shard_query_splits_its_table(spark):
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("the driver's tables are not here")
+    depths = [r.depth for r in queries.op10_sharding(spark, "/root/testdata/sf0.01").select("depth").distinct().collect()]
+    assert min(depths) > 0

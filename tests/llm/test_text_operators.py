@@ -4,13 +4,14 @@ import hashlib
 import random
 import re
 import zlib
+from collections import Counter
 from array import array
 
 import numpy as np
 import pytest
 import xxhash
 
-from veilframe.llm import decontaminate, packing, simhash, token_store
+from veilframe.llm import decontaminate, packing, queries, simhash, token_store
 from veilframe.llm.tokens import Encoder
 
 tokenizers = pytest.importorskip("tokenizers")
@@ -95,6 +96,14 @@ def test_simhash_empty_null_ids_and_repeats(spark):
     rows = spark.createDataFrame([(None, "a b c d"), (5, "a b c d"), (5, "a b c d"), (7, None), (8, "")], "doc_id long, text string")
     got = sorted((r.id is None, r.id or 0, r.component_id) for r in simhash.near_duplicates(rows).collect())
     assert got == [(False, 5, 5), (False, 5, 5), (False, 7, 7), (False, 8, 7), (True, 0, 5)]
+    words = [f"w{i}" for i in range(240)]  # a word more or less moves a bit or none
+    chain = [" ".join(words[: 240 - 2 * i]) for i in range(12)]
+    codes = [simhash.fingerprint(t) for t in chain]
+    bare = [(i if i % 3 == 0 else None, t) for i, t in enumerate(chain)]
+    found = {r.simhash % 2**64: r.component_id for r in simhash.near_duplicates(spark.createDataFrame(bare, "doc_id long, text string")).collect()}
+    classes = brute_components(codes, 2)
+    least = {c: min((i for i in range(0, 12, 3) if classes[i] == c), default=None) for c in classes}
+    assert [found[c] for c in codes] == [least[c] for c in classes] and any(a != b for a, b in zip(codes, codes[1:]))
     lost = spark.createDataFrame([(None, "a b c d")], "doc_id long, text string")
     assert [r.component_id for r in simhash.near_duplicates(lost).collect()] == [None]
 
@@ -183,11 +192,28 @@ def test_token_store_of_nothing_and_ties(spark):
     assert sorted(r.start for r in rows) == [0, 2, 4, 6] and [r.doc_id for r in sorted(rows, key=lambda r: r.start)] == [None, 1, 1, 1]
 
 
+def test_loss_limit_binds_with_little_padding(spark):
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices(["alpha", "beta", "gamma", "delta"], k=int(rng.lognormvariate(5, 1.3)))) for _ in range(400)] + ["omega " * 30_000] * 2
+    docs = spark.createDataFrame([(i // 2, t, "own", "s") for i, t in enumerate(texts)], "doc_id long, text string, sequence_id string, length string")
+    rows = packing.digest(queries.packed(docs)).collect()
+    tokens, loss = Counter(), Counter()
+    for r in rows:
+        tokens[r.sequence_id] += r.length
+        loss[r.sequence_id] += r.loss_tokens
+        assert r.loss_tokens == max(0, r.start + r.length - max(r.start, queries.PROMPT))
+    path = public.path("word_bpe_49k.json")
+    assert sum(tokens.values()) == sum(len(plain_ids(path, t)) for t in texts)
+    assert max(tokens.values()) == 4096 and max(loss.values()) == 4096 - queries.PROMPT
+    assert sum(loss[s] == 4064 and n < 4096 for s, n in tokens.items()) >= 2  # held back by loss alone
+    assert sum(tokens.values()) > 0.97 * 4096 * (len(tokens) - 4)
+
+
 @pytest.mark.parametrize("limits", [packing.Limits(), packing.Limits(64, 3, 40), packing.Limits(7, 1, 2)])
 def test_packing(spark, limits):
     path = public.path("word_bpe_49k.json")
     rng = random.Random(5)
-    texts = [t for t in ODD if not t or len(t) < 1000] + [" ".join(["word"] * rng.randint(0, 90)) for _ in range(120)]
+    texts = ODD + [" ".join(["word"] * rng.randint(0, 90)) for _ in range(120)] + ["long " * 9000]
     docs = spark.createDataFrame([(i, t, i % 5) for i, t in enumerate(texts)], "doc_id long, text string, quiet long")
     rows = packing.pack(docs, path, limits=limits, loss_from=docs["quiet"]).collect()
     by_doc, by_sequence = {}, {}
