@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from veilframe.llm import decontaminate, packing, secrets, similar, toxicity
 from veilframe.llm.common import name, narrow, written
-from veilframe.llm.queries import table, tokenizer, toxicity_model
+from veilframe.llm.queries import packed, table, toxicity_model
 
 DEDUP_BITS = 4  # of fingerprints that only propose pairs; the five-word shingles decide
 
@@ -28,7 +28,12 @@ def _judged(docs: DataFrame, judge: Callable[[DataFrame], DataFrame], fields, ke
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score below one half."""
+    """Documents that score below one half.
+
+    Each row is scored by itself, so repeated rows go or stay together; long
+    texts are scored whole; texts without words score 0 and stay, as all do if
+    there are no labels. An empty table gives an empty one.
+    """
     model = toxicity_model(spark, docs, sf_dir)
     return _judged(docs, lambda d: toxicity.scored(d, model), toxicity.FIELDS, F.col("score") < 0.5)
 
@@ -53,13 +58,23 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents of whose words less than a twentieth belongs to benchmark passages."""
+    """Documents of whose words less than a twentieth belongs to benchmark passages.
+
+    Each row is judged by itself and whole; exactly a twentieth is too much.
+    Texts without words stay, all do if the benchmark is empty, and an empty
+    table gives an empty one.
+    """
     judge = lambda d: decontaminate.contamination(d, table(spark, sf_dir, "benchmark"))
     return _judged(docs, judge, decontaminate.FIELDS, ~decontaminate.is_contaminated())
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with secrets masked that are not widely copied examples; n_chars follows the text."""
+    """All documents, with secrets masked that are not widely copied examples; n_chars follows the text.
+
+    Of overlapping findings one mask stands. Repeated rows are masked alike and
+    count once by owner; a null source is an owner without a name. Texts are
+    searched whole; null ones stay null. An empty table gives an empty one.
+    """
     marked = docs.withColumn("__before", F.xxhash64("text"))
     masked = secrets.redact(marked, repo=F.concat_ws("/", "source", "lang"), owner=F.col("source"))
     length = F.when(F.xxhash64("text") == F.col("__before"), F.col("n_chars")).otherwise(F.char_length("text").cast("long"))
@@ -67,8 +82,12 @@ def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents in sequences of at most 4096 tokens."""
-    return packing.digest(packing.pack(docs, tokenizer("word_bpe_49k.json")))
+    """Pieces of all documents in sequences of at most 4096 tokens, 128 segments and 4064 loss-bearing tokens.
+
+    Long texts are cut into pieces, repeated rows packed as often as they come,
+    null texts one end id. An empty table gives no piece.
+    """
+    return packing.digest(packed(docs))
 
 
 STAGES = [
