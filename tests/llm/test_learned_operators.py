@@ -111,6 +111,7 @@ def test_full_lists_do_not_part_groups(spark, monkeypatch):
 
 def test_a_low_audit_is_made_up_exactly(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "_recall", lambda *_: 0.0)
+    monkeypatch.setattr(neighbours, "_closed", lambda edges, *_: edges)
     monkeypatch.setattr(neighbours, "ROUNDS", 1)
     monkeypatch.setattr(neighbours, "CHUNK", 150)
     monkeypatch.setattr(neighbours, "_bonds", lambda *_: (np.zeros(0, np.int64),) * 2)
@@ -120,6 +121,29 @@ def test_a_low_audit_is_made_up_exactly(spark, monkeypatch):
         check_links({r.vec_id: r for r in neighbours.digest(neighbours.near_duplicates(frame)).collect()}, list(range(len(data))), data)
 
 
+def test_recall_is_audited_on_planted_links(spark):
+    rng = np.random.default_rng(5)
+    data = vectors(rng, 500, 64, [(2, 0.02)] * 60 + [(30, 0.1)] * 3 + [(7, 0.2)] * 6)
+    order = rng.permutation(len(data))
+    frame = spark.createDataFrame([(int(i), data[k]) for i, k in enumerate(order)], "vec_id long, embedding array<float>")
+    rows = neighbours.digest(neighbours.near_duplicates(frame)).collect()
+    check_links({r.vec_id: r for r in rows}, list(range(len(data))), [data[k] for k in order])
+    asked = [r for r in rows if r.vec_id % 100 == 0 and r.n_links]
+    assert asked and {r.recall for r in rows} == {1.0}
+    lone = spark.createDataFrame([(i, v) for i, v in enumerate(vectors(rng, 50, 64, []))], "vec_id long, embedding array<float>")
+    assert {r.recall for r in neighbours.near_duplicates(lone).collect()} == {None}
+
+
+def test_half_precision_stays_within_its_slack():
+    rng = np.random.default_rng(6)
+    for dims in (3, 64, 1024):
+        x = rng.standard_normal((200, dims)) * np.exp(rng.standard_normal((200, 1)) * 8)
+        x[100:] = x[:100] * (1 + 0.2 * rng.standard_normal((100, dims)))
+        x[0, 1:] = 1e-9
+        half = neighbours._unit(x).astype(np.float16).astype(np.float32)
+        assert np.abs(half @ half.T - neighbours._cosines(x, x)).max() < neighbours.SLACK
+
+
 def test_neighbours_of_nothing(spark):
     assert neighbours.near_duplicates(spark.createDataFrame([], "vec_id long, embedding array<float>")).count() == 0
 

@@ -3,17 +3,23 @@
 Neighbour lists start from the leaves of random hyperplane trees. Each round,
 every vector introduces its neighbours (and those it is a neighbour of) to one
 another, and lists keep the best. A list whose entries all reach the threshold is
-saturated and gets longer. Pairs that reach the threshold are edges; their
-components are audited against brute force for a fixed number of vectors, and
-rounds go on until the recall is high; if it stays low, all vectors are compared.
-Links that no list has room for are not lost: each block compared gives a forest
-of all its links besides the entries. Within a component, links are counted
-exactly, block by block.
+saturated and gets longer. Pairs that reach the threshold in double precision are
+the edges of the graph. Its recall is audited against brute force for all vectors
+whose id is divisible by 100, and rounds go on until it is high; if it stays low,
+all vectors are compared. Links that no list has room for are not lost: each block
+compared gives a forest of all its links besides the entries. At last neighbours
+over edges are introduced until no edge is new. A vector's links are its edges;
+only in components with long lists of links are they counted block by block.
+
+The search compares unit vectors in half precision, which are a quarter of what
+the exact ones are when they are shuffled; these are fetched for pairs near the
+threshold only.
 """
 
 from __future__ import annotations
 
 import itertools
+import logging
 import math
 import warnings
 from collections.abc import Iterator
@@ -32,14 +38,17 @@ LIST = 10  # entries of a list that is not saturated
 TREES = 8
 LEAF = 96  # vectors in a leaf, on average at most
 LEAF_MOST = 384  # beyond this a leaf is dealt to several
-AUDIT = 256  # vectors compared with all others to measure recall
+CLOSEST = 5  # pairs that a leaf gives of each vector, besides those that reach the threshold
+AUDIT = 100  # vectors with ids divisible by it are compared with all others to measure recall
 RECALL = 0.98
 ROUNDS = 6
 BLOCK = 1024  # vectors of a block when links inside a component are counted
-SLACK = 1e-6  # single precision of the search; edges are checked in double precision
+SLACK = 1.2e-3  # two roundings to half precision; edges are checked in double precision
+_LOG = logging.getLogger(__name__)
 
 PAIRS = T.StructType([T.StructField("u", T.LongType()), T.StructField("v", T.LongType()), T.StructField("s", T.FloatType()), T.StructField("bond", T.BooleanType())])
-CHUNK = 4096  # vectors compared with all others at a time when the audit stays low
+LINKS = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+CHUNK = 4096  # vectors compared with all others at a time, in the audit and when it stays low
 
 
 def usable(vector: Column) -> Column:
@@ -58,6 +67,10 @@ def _unit(x: np.ndarray) -> np.ndarray:
     return (x / np.sqrt((x * x).sum(axis=1, keepdims=True))).astype(np.float32)
 
 
+def _halves(column: pa.ChunkedArray | pa.Array, dims: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.float16).reshape(-1, dims).astype(np.float32)
+
+
 def _cosines(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Cosines in double precision."""
     a, b = (x / np.abs(x).max(axis=1, keepdims=True) for x in (a, b))
@@ -72,22 +85,33 @@ def _batch(arrays: list, schema: T.StructType) -> pa.RecordBatch:
 
 
 def _nodes(vectors: DataFrame) -> DataFrame:
-    """(node, first, copies, key, vec): distinct vectors with the smallest id and the number of rows of each."""
-    each = vectors.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"))
+    """(node, first, copies, asked, mark, vec, unit): distinct vectors with the smallest id and the number of rows of each.
+
+    ``asked`` tells whether the audit asks for one of its ids, ``vec`` holds
+    doubles, ``unit`` the unit vector in half precision.
+    """
+    asked = F.max(F.coalesce(F.pmod(F.col("id"), F.lit(AUDIT)) == 0, F.lit(False))).alias("asked")
+    each = vectors.groupBy("key").agg(F.min("id").alias("first"), F.count(F.lit(1)).alias("copies"), asked)
+    numbered = each.select(F.monotonically_increasing_id().alias("node"), "first", "copies", "asked", vector_mark(F.col("key")).alias("mark"), "key")
+    kept = [f for f in numbered.schema.fields if f.name != "key"]
+    schema = T.StructType([*kept, T.StructField("vec", T.BinaryType()), T.StructField("unit", T.BinaryType())])
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column("key")
-            flat, at = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64), 0
-            packed = []
-            for n in lists.value_lengths().to_pylist():
-                packed.append(flat[at : at + n].tobytes())
-                at += n
-            arrays = [batch.column(n) for n in ("node", "first", "copies", "key")]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(packed, pa.binary())], names=["node", "first", "copies", "key", "vec"])
+            if not len(lists):
+                continue
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(len(lists), -1)
+            halves = _unit(flat).astype(np.float16)
+            arrays = [batch.column(f.name) for f in kept]
+            yield pa.RecordBatch.from_arrays([*arrays, *(pa.array([r.tobytes() for r in m], pa.binary()) for m in (flat, halves))], names=schema.names)
 
-    numbered = each.withColumn("node", F.monotonically_increasing_id()).select("node", "first", "copies", "key")
-    return written(numbered.mapInArrow(pack, T.StructType([*numbered.schema.fields, T.StructField("vec", T.BinaryType())])), "vectors")
+    return written(numbered.mapInArrow(pack, schema), "vectors")
+
+
+def vector_mark(vector: Column) -> Column:
+    """128 bits that stand for a vector in joins."""
+    return F.struct(F.xxhash64(F.lit(1), vector).alias("h"), F.xxhash64(F.lit(2), vector).alias("g"))
 
 
 def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -110,39 +134,46 @@ def _forest(near: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def _bonds(sim: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """(i, j): what links the vectors of a block whatever their lists hold.
 
-    A forest of the sure links; pairs that single precision leaves open are all given.
+    A forest of the sure links, and all pairs that half precision leaves open
+    between its trees.
     """
     i, j = _forest(sim >= threshold + SLACK)
     a, b = np.nonzero(np.triu(np.abs(sim - threshold) < SLACK, 1))
+    if len(a) and len(i):
+        tree = np.arange(len(sim))
+        for x, y in zip(i.tolist(), j.tolist(), strict=True):  # in the order in which the trees grew
+            tree[y] = tree[x]
+        apart = tree[a] != tree[b]
+        a, b = a[apart], b[apart]
     return np.concatenate([i, a]), np.concatenate([j, b])
 
 
 # ---- first lists --------------------------------------------------------------
 def _leaves(nodes: DataFrame, dims: int, n: int, trees: int, seed: int) -> DataFrame:
-    """(tree, code, part, node, vec): every vector in one leaf of each tree."""
+    """(tree, code, part, node, unit): every vector in one leaf of each tree."""
     bits = max(1, math.ceil(math.log2(max(2, n / LEAF))))
-    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("vec", T.BinaryType()), T.StructField("codes", T.ArrayType(T.LongType()))])
+    schema = T.StructType([T.StructField("node", T.LongType()), T.StructField("unit", T.BinaryType()), T.StructField("codes", T.ArrayType(T.LongType()))])
 
     def code(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         planes = np.random.default_rng(seed).standard_normal((dims, trees * bits)).astype(np.float32)
         weights = 1 << np.arange(bits, dtype=np.int64)
         for batch in batches:
-            signs = (_unit(_matrix(batch.column("vec"), dims)) @ planes > 0).reshape(-1, trees, bits)
-            yield _batch([batch.column("node"), batch.column("vec"), (signs * weights).sum(axis=2).tolist()], schema)
+            signs = (_halves(batch.column("unit"), dims) @ planes > 0).reshape(-1, trees, bits)
+            yield _batch([batch.column("node"), batch.column("unit"), (signs * weights).sum(axis=2).tolist()], schema)
 
-    coded = nodes.select("node", "vec").mapInArrow(code, schema)
-    rows = coded.select("node", "vec", F.posexplode("codes").alias("tree", "code"))
+    coded = nodes.select("node", "unit").mapInArrow(code, schema)
+    rows = coded.select("node", "unit", F.posexplode("codes").alias("tree", "code"))
     sizes = rows.groupBy("tree", "code").agg(F.count(F.lit(1)).alias("n"))
     part = F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("n") / LEAF_MOST)).cast("int")
-    return rows.join(sizes, ["tree", "code"]).select("tree", "code", part.alias("part"), "node", "vec")
+    return rows.join(sizes, ["tree", "code"]).select("tree", "code", part.alias("part"), "node", "unit")
 
 
 def _leaf_pairs(leaves: DataFrame, dims: int, size: int, threshold: float) -> DataFrame:
-    """The best pairs of each leaf, and a forest of all its links."""
+    """The closest pairs of each leaf, up to ``size`` where they reach the threshold, and a forest of all its links."""
 
     def work(table: pa.Table, groups: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
         nodes = table.column("node").to_numpy()
-        unit = _unit(_matrix(table.column("vec"), dims))
+        unit = _halves(table.column("unit"), dims)
         u, v, s, bond = [], [], [], []
         for lo, hi in groups:
             if hi - lo < 2:
@@ -151,15 +182,14 @@ def _leaf_pairs(leaves: DataFrame, dims: int, size: int, threshold: float) -> Da
             np.fill_diagonal(sim, -2)
             k = min(size, hi - lo - 1)
             best = np.argpartition(-sim, k - 1, axis=1)[:, :k]
-            u.append(np.repeat(nodes[lo:hi], k))
-            v.append(nodes[lo + best.ravel()])
-            s.append(np.take_along_axis(sim, best, 1).ravel())
-            bond.append(np.zeros(best.size, bool))
-            i, j = _bonds(sim, threshold)
-            u.append(nodes[lo + i])
-            v.append(nodes[lo + j])
-            s.append(sim[i, j])
-            bond.append(np.ones(len(i), bool))
+            best = np.take_along_axis(best, np.argsort(-np.take_along_axis(sim, best, 1), axis=1), 1)
+            near = np.take_along_axis(sim, best, 1)
+            i, place = np.nonzero((np.arange(k) < CLOSEST) | (near >= threshold - SLACK))
+            more_i, more_j = _bonds(sim, threshold)
+            u.append(nodes[lo + np.concatenate([i, more_i])])
+            v.append(nodes[lo + np.concatenate([best[i, place], more_j])])
+            s.append(np.concatenate([near[i, place], sim[more_i, more_j]]))
+            bond.append(np.arange(len(i) + len(more_i)) >= len(i))
         if u:
             yield _batch([np.concatenate(x) for x in (u, v, s, bond)], PAIRS)
 
@@ -183,17 +213,19 @@ def _best(pairs: DataFrame, size: int, longer: int, threshold: float) -> tuple[D
 def _introduced(lists: DataFrame, nodes: DataFrame, dims: int, size: int, longer: int, threshold: float) -> DataFrame:
     """Pairs met through a common neighbour that are better than the worst entry of either list, and a forest of all links met."""
     near = Window.partitionBy("v").orderBy(F.xxhash64("u"))
-    back = lists.withColumn("k", F.row_number().over(near)).where(F.col("k") <= longer).select(F.col("v").alias("centre"), F.col("u").alias("node"))
+    full = lists.groupBy("u").agg((F.min("s") >= threshold - SLACK).alias("full")).where("full").select(F.col("u").alias("v"), "full")
+    back = lists.join(full, "v", "left").withColumn("k", F.row_number().over(near))
+    back = back.where(F.col("k") <= F.when(F.col("full"), longer).otherwise(size)).select(F.col("v").alias("centre"), F.col("u").alias("node"))
     members = lists.select(F.col("u").alias("centre"), F.col("v").alias("node")).unionByName(back)
     members = members.unionByName(nodes.select(F.col("node").alias("centre"), "node")).distinct()
     worst = lists.groupBy("u").agg(F.min("s").alias("least"), F.count(F.lit(1)).alias("n"))
     least = F.when(F.col("n") >= size, F.col("least")).otherwise(F.lit(-2.0).cast("float"))
-    known = nodes.select("node", "vec").join(worst.withColumnRenamed("u", "node"), "node", "left").select("node", "vec", F.coalesce(least, F.lit(-2.0).cast("float")).alias("least"))
+    known = nodes.select("node", "unit").join(worst.withColumnRenamed("u", "node"), "node", "left").select("node", "unit", F.coalesce(least, F.lit(-2.0).cast("float")).alias("least"))
     rows = members.join(known, "node")
 
     def work(table: pa.Table, groups: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
         ids, least = table.column("node").to_numpy(), table.column("least").to_numpy()
-        unit = _unit(_matrix(table.column("vec"), dims))
+        unit = _halves(table.column("unit"), dims)
         u, v, s, bond = [], [], [], []
         for lo, hi in groups:
             sim = unit[lo:hi] @ unit[lo:hi].T
@@ -212,12 +244,11 @@ def _introduced(lists: DataFrame, nodes: DataFrame, dims: int, size: int, longer
 
 
 # ---- edges, audit, counts ----------------------------------------------------------
-def _edges(lists: DataFrame, nodes: DataFrame, dims: int, threshold: float) -> DataFrame:
-    """(a, b): entries of the lists and bonds that reach the threshold in double precision."""
-    close = lists.where(F.col("s") >= threshold - SLACK).select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
+def _edges(pairs: DataFrame, nodes: DataFrame, dims: int, threshold: float) -> DataFrame:
+    """(a, b): those of the pairs (u, v) that reach the threshold in double precision."""
+    close = pairs.select(F.least("u", "v").alias("a"), F.greatest("u", "v").alias("b")).distinct()
     left = nodes.select(F.col("node").alias("a"), F.col("vec").alias("x"))
     right = nodes.select(F.col("node").alias("b"), F.col("vec").alias("y"))
-    schema = T.StructType([T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -225,32 +256,72 @@ def _edges(lists: DataFrame, nodes: DataFrame, dims: int, threshold: float) -> D
                 x, y = _matrix(batch.column("x"), dims), _matrix(batch.column("y"), dims)
                 x, y = (m / np.abs(m).max(axis=1, keepdims=True) for m in (x, y))
                 cosine = (x * y).sum(axis=1) / (np.sqrt((x * x).sum(axis=1)) * np.sqrt((y * y).sum(axis=1)))
-                good = np.flatnonzero(cosine >= threshold)
-                yield _batch([batch.column("a").take(pa.array(good)), batch.column("b").take(pa.array(good))], schema)
+                good = pa.array(np.flatnonzero(cosine >= threshold))
+                yield _batch([batch.column("a").take(good), batch.column("b").take(good)], LINKS)
 
-    return close.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, schema)
+    return close.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(check, LINKS)
 
 
-def _recall(nodes: DataFrame, roots: DataFrame, dims: int, threshold: float) -> float:
-    """Of the true links of ``AUDIT`` vectors, the share that lies within found components."""
-    queries = nodes.select("node", "vec").orderBy(F.xxhash64("node")).limit(AUDIT).collect()
-    ids = np.array([q["node"] for q in queries], np.int64)
-    vectors = np.frombuffer(b"".join(bytes(q["vec"]) for q in queries), np.float64).reshape(-1, dims)
+def _closed(edges: DataFrame, nodes: DataFrame, dims: int, threshold: float) -> DataFrame:
+    """The edges, and those between neighbours over edges, until none is new.
+
+    Vectors with ``LIST`` edges and more introduce nobody here: their components
+    are counted block by block.
+    """
+    new = edges
+    while True:
+        both = edges.select(F.col("a").alias("c"), F.col("b").alias("u")).unionAll(edges.select("b", "a"))
+        few = both.groupBy("c").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") < LIST).select("c")
+        touched = new.select(F.explode(F.array("a", "b")).alias("c")).distinct()
+        around = both.join(few, "c", "left_semi").join(touched, "c", "left_semi")
+        met = around.join(around.withColumnRenamed("u", "v"), "c").where("u < v").select("u", "v").distinct()
+        unknown = met.join(edges, (F.col("u") == F.col("a")) & (F.col("v") == F.col("b")), "left_anti")
+        new = checkpointed(_edges(unknown, nodes, dims, threshold))
+        if new.isEmpty():
+            return edges
+        edges = checkpointed(edges.unionByName(new))
+
+
+def _asked(nodes: DataFrame) -> Iterator[tuple[np.ndarray, bytes]]:
+    """The audited vectors, ``CHUNK`` at a time on the driver."""
+    held = []
+    for row in itertools.chain(nodes.where("asked").select("node", "vec").toLocalIterator(), [None]):
+        if row is not None:
+            held.append(row)
+        if held and (row is None or len(held) == CHUNK):
+            yield np.array([r["node"] for r in held], np.int64), b"".join(bytes(r["vec"]) for r in held)
+            held = []
+
+
+def _truth(nodes: DataFrame, dims: int, threshold: float) -> DataFrame:
+    """(q, node): all true links of the audited vectors, by comparison with every vector."""
     schema = T.StructType([T.StructField("q", T.LongType()), T.StructField("node", T.LongType())])
+    true = None
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            if batch.num_rows:
-                own = batch.column("node").to_numpy()
-                i, j = np.nonzero(_cosines(_matrix(batch.column("vec"), dims), vectors) >= threshold)
-                apart = own[i] != ids[j]
-                yield _batch([ids[j][apart], own[i][apart]], schema)
+    def against(ids: np.ndarray, vectors: np.ndarray) -> DataFrame:
+        def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if batch.num_rows:
+                    own = batch.column("node").to_numpy()
+                    i, j = np.nonzero(_cosines(_matrix(batch.column("vec"), dims), vectors) >= threshold)
+                    apart = own[i] != ids[j]
+                    yield _batch([ids[j][apart], own[i][apart]], schema)
 
-    true = nodes.select("node", "vec").mapInArrow(compare, schema)
+        return checkpointed(nodes.select("node", "vec").mapInArrow(compare, schema))
+
+    for ids, raw in _asked(nodes):
+        found = against(ids, np.frombuffer(raw, np.float64).reshape(-1, dims))
+        true = found if true is None else true.unionByName(found)
+    return true if true is not None else nodes.limit(0).select(F.col("node").alias("q"), "node")
+
+
+def _recall(true: DataFrame, roots: DataFrame) -> float | None:
+    """The share of true links that lie within found components; none if there is nothing to find."""
     one = roots.select(F.col("node").alias("q"), F.col("root").alias("one"))
     both = true.join(one, "q", "left").join(roots, "node", "left")
     row = both.agg(F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("one") == F.col("root"), 1)).alias("found")).first()
-    return row["found"] / row["n"] if row["n"] else 1.0
+    _LOG.info("audit of near-duplicate vectors: %d of %d true links found", row["found"], row["n"])
+    return row["found"] / row["n"] if row["n"] else None
 
 
 def _across(nodes: DataFrame, roots: DataFrame, dims: int, threshold: float) -> DataFrame:
@@ -326,32 +397,54 @@ def _counts(nodes: DataFrame, roots: DataFrame, dims: int, threshold: float) ->
     return parts.groupBy("node").agg(F.sum("n").alias("n"))
 
 
+def _links_of(nodes: DataFrame, roots: DataFrame, edges: DataFrame, dims: int, threshold: float) -> DataFrame:
+    """(node, n): rows linked with each vector of a component.
+
+    Where every vector of a component has fewer than ``LIST`` edges, no list had
+    to leave one out, and edges are counted. The others are compared block by block.
+    """
+    both = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionAll(edges.select("b", "a"))
+    copies = nodes.select(F.col("node").alias("other"), "copies")
+    degrees = both.join(copies, "other").groupBy("node").agg(F.sum("copies").alias("n"), F.count(F.lit(1)).alias("edges"))
+    rooted = checkpointed(roots.join(degrees, "node", "left"))
+    long = rooted.groupBy("root").agg(F.max("edges").alias("most")).where(F.coalesce("most", F.lit(LIST)) >= LIST).select("root")
+    counted = _counts(nodes, roots.join(long, "root", "left_semi"), dims, threshold)
+    return rooted.join(long, "root", "left_anti").select("node", "n").unionByName(counted)
+
+
 def _linked(vectors: DataFrame, dims: int, threshold: float, seed: int) -> DataFrame:
     nodes = _nodes(vectors)
     n = nodes.count()
+    true = checkpointed(_truth(nodes, dims, threshold))
+    near = F.col("s") >= threshold - SLACK
     lists, bonds = _best(_leaf_pairs(_leaves(nodes, dims, n, TREES, seed), dims, LIST, threshold), LIST, 2 * LIST, threshold)
-    edges, recall = None, 0.0
+    edges, recall = None, None
     for k in range(ROUNDS):
         longer = LIST << min(k + 1, 4)
         met = _introduced(lists, nodes, dims, LIST, longer, threshold)
         if k:
             met = met.unionByName(_leaf_pairs(_leaves(nodes, dims, n, TREES, seed + k), dims, LIST, threshold))
         lists, more = _best(lists.unionByName(met), LIST, longer, threshold)
-        found = _edges(lists.unionByName(more) if k else lists.unionByName(more).unionByName(bonds), nodes, dims, threshold)
+        found = _edges((lists.unionByName(more) if k else lists.unionByName(more).unionByName(bonds)).where(near), nodes, dims, threshold)
         edges = checkpointed(found if edges is None else edges.unionByName(found).distinct())
+        edges = _closed(edges, nodes, dims, threshold)
         roots = components(edges)
-        recall = _recall(nodes, roots, dims, threshold)
-        if recall >= RECALL:
+        recall = _recall(true, roots)
+        if recall is None or recall >= RECALL:
             break
-    if recall < RECALL:
+    if recall is not None and recall < RECALL:
         warnings.warn(f"the audited recall of near-duplicate vectors is {recall:.3f}; all vectors are compared", stacklevel=2)
-        roots = components(edges.unionByName(_across(nodes, roots, dims, threshold)))
-    counts = _counts(nodes, roots, dims, threshold)
-    joined = nodes.join(roots, "node", "left").join(counts, "node", "left")
+        edges = checkpointed(edges.unionByName(_across(nodes, roots, dims, threshold)).distinct())
+        edges = _closed(edges, nodes, dims, threshold)
+        roots = components(edges)
+        recall = _recall(true, roots)
+    links = _links_of(nodes, roots, edges, dims, threshold)
+    joined = nodes.select("node", "first", "copies", "mark").join(roots, "node", "left").join(links, "node", "left")
     joined = joined.withColumn("root", F.coalesce("root", "node"))
     smallest = joined.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = joined.join(smallest, "root").select("key", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
-    return vectors.join(classes, "key").select("id", "n_links", "component_id")
+    classes = joined.join(smallest, "root").select("mark", "component_id", (F.coalesce("n", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    marked = vectors.select("id", vector_mark(F.col("key")).alias("mark"))
+    return marked.join(classes, "mark").select("id", "n_links", "component_id", F.lit(recall).cast("double").alias("recall"))
 
 
 def near_duplicates(
@@ -361,23 +454,29 @@ def near_duplicates(
     threshold: float = THRESHOLD,
     seed: int = 42,
 ) -> DataFrame:
-    """(id, n_links, component_id) of every row, linked at a cosine of at least ``threshold``.
+    """(id, n_links, component_id, recall) of every row, linked at a cosine of at least ``threshold``.
 
     Null, empty and zero vectors and those with null or non-finite components
     link with nothing, nor do rows without an id. Vectors of different lengths
-    are not compared. Equal vectors are one until results are given out, so
-    repeated rows link with each other. An empty table gives no rows.
+    are not compared; each length that several rows have is a search of its own.
+    Equal vectors are one until results are given out, so repeated rows link with
+    each other. An empty table gives no rows; columns other than the two named
+    are not read. ``recall`` is the audited share of true links, the same in all
+    rows of a search; null where the audited vectors have no link to find.
     """
     rows = embeddings.select(name(id_col).alias("id"), name(vector_col).alias("key"))
-    good = F.col("id").isNotNull() & usable(F.col("key"))
-    rest = rows.where(~good).select("id", F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"))
-    lengths = [r["d"] for r in rows.where(good).select(F.size("key").alias("d")).distinct().collect()]
-    for d in sorted(lengths):
-        rest = rest.unionByName(_linked(rows.where(good & (F.size("key") == d)), d, threshold, seed))
-    return rest
+    good = F.coalesce(F.col("id").isNotNull() & usable(F.col("key")), F.lit(False))
+    found = rows.where(good).groupBy(F.size("key").alias("d")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").collect()  # one row a length
+    lengths = sorted(r["d"] for r in found)
+    single = good & F.size("key").isin(lengths) if lengths else F.lit(False)
+    alone = [F.lit(0).cast("long").alias("n_links"), F.col("id").alias("component_id"), F.lit(None).cast("double").alias("recall")]
+    out = rows.where(~single).select("id", *alone)
+    for d in lengths:
+        out = out.unionByName(_linked(rows.where(good & (F.size("key") == d)), d, threshold, seed))
+    return out
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The contract's columns of a result of :func:`near_duplicates`."""
+    """The contract's columns of a result of :func:`near_duplicates`, and the audited recall."""
     kept = F.coalesce(F.col("id") == F.col("component_id"), F.lit(False))
-    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", kept.alias("kept"))
+    return found.select(F.col("id").alias("vec_id"), "n_links", "component_id", kept.alias("kept"), "recall")
