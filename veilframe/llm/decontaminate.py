@@ -11,6 +11,7 @@ so that hits map back to the original text.
 
 from __future__ import annotations
 
+import itertools
 import re
 import uuid
 from collections.abc import Iterator
@@ -56,8 +57,8 @@ class _Codes(dict):
         self.places, self.unknown = places, "\uf000" * places
         super().__init__((w, "".join(chr(256 + DIGIT * j + (i // DIGIT**j) % DIGIT) for j in range(places))) for i, w in enumerate(words))
 
-    def __missing__(self, word: str) -> str:
-        return self.unknown
+    def line(self, words: list[str]) -> str:
+        return "".join(map(self.get, words, itertools.repeat(self.unknown)))
 
     def numbers(self, line: str) -> np.ndarray:
         """The words' numbers of a line of codes, -2 for unknown ones."""
@@ -114,7 +115,7 @@ class Matcher:
         words = words_of(text)
         if self._built is None or not words:
             return len(words), [], set()
-        line, places = "".join(map(self._codes.__getitem__, words)), self._codes.places
+        line, places = self._codes.line(words), self._codes.places
         runs, found, own = [], set(), None
         for end, key in self._built.iter(line):
             if own is None:
