@@ -1,5 +1,6 @@
 """Components, NN-descent, toxicity, the pipeline and the registered queries."""
 
+import glob
 import math
 import os
 import random
@@ -9,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from veilframe.llm import neighbours, queries, toxicity
+from veilframe.llm import common, neighbours, queries, toxicity
 from veilframe.llm.components import components
 
 SF = "/root/testdata/sf0.001"
@@ -292,10 +293,37 @@ def test_pipeline_on_planted_documents(spark, tmp_path):
     assert 1002 not in counts["benchmark decontamination"] and 1003 in counts["benchmark decontamination"]
     kept = {r.doc_id: r for r in state.collect()}
     assert token not in kept[1003].text and "[SECRET]" in kept[1003].text and kept[1003].n_chars == len(kept[1003].text) and kept[1003].score == "own"
+    before = set(glob.glob(f"{common.shared_folder(spark)}/veilframe/*"))
     whole = {r.doc_id for r in corpus_pipeline.run(spark, str(tmp_path)).collect()}
+    assert [p.rpartition("/")[2].split("-")[0] for p in set(glob.glob(f"{common.shared_folder(spark)}/veilframe/*")) - before] == ["stage3"]
     assert whole == {None if i == -1 else i for i in counts["secret scans"]}
 
 
+def test_stages_on_empty_tables_and_odd_rows(spark, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    schema = "doc_id long, text string, lang string, source string, n_chars long, score string, key string, mark string"
+    spark.createDataFrame([], "doc_id long, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    spark.createDataFrame([], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    own = " ".join(f"w{i}" for i in range(50))
+    text = [own, own + " and more", "another text of few words", None, "", "long " * 40_000]
+    rows = [(1, text[0]), (1, text[2]), (1, text[2]), (2, text[0]), (None, text[1]), (None, text[1]), (None, "no other has this"), (None, "no other has this"), (3, None), (4, ""), (None, None), (5, text[5]), (5, text[5])]
+    docs = spark.createDataFrame([(i, t, None, None, None, "own", "k", "m") for i, t in rows], schema)
+    for name, stage in corpus_pipeline.STAGES:
+        empty = stage(spark, docs.limit(0), str(tmp_path))
+        assert empty.count() == 0
+        out = stage(spark, docs, str(tmp_path))
+        if name == "packing":
+            assert {r.doc_id for r in out.collect()} == {1, 2, 3, 4, 5, None}
+            continue
+        assert out.columns == empty.columns == docs.columns
+        got = sorted(((r.doc_id, r.text) for r in out.collect()), key=repr)
+        assert {r.score + r.key + r.mark for r in out.collect()} == {"ownkm"}
+        if name == "simhash near-dedup":
+            assert got == sorted([(1, text[0]), (1, text[2]), (None, "no other has this"), (3, None), (5, text[5])], key=repr)
+        else:
+            assert got == sorted(rows, key=repr)
+
+
 @pytest.mark.skipif(not os.path.isdir(SF), reason="the driver's tables are not here")
 @pytest.mark.parametrize("name", sorted(queries.QUERIES))
 def test_queries_cover_their_tables(spark, name):

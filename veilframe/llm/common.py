@@ -49,17 +49,42 @@ def written(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/veilframe/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    _WRITTEN.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_WRITTEN: list[str] = []  # tables of this driver, in the order in which they were written
+
+
+def written_so_far() -> int:
+    return len(_WRITTEN)
+
+
+def discard(spark: SparkSession, since: int, keep: int = 1) -> None:
+    """Delete the tables written after the first ``since`` ones, but for the last ``keep``.
+
+    For a caller that knows that nothing will read them again.
+    """
+    gone = _WRITTEN[since : len(_WRITTEN) - keep]
+    del _WRITTEN[since : len(_WRITTEN) - keep]
+    for path in gone:
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
+
+
+BATCH_BYTES = 16 << 20  # of an Arrow batch, and of the groups a worker holds at a time
+
+
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
     """Bound the Arrow batches that Python workers get, as documents may be very long.
 
-    A smaller setting of the session stays.
+    These are settings of the session, so they hold for its other queries as
+    well. A smaller number of rows set before stays.
     """
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if int(spark.conf.get(key, "10000")) > rows:
         spark.conf.set(key, str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
 BROADCAST_ROWS = 1_000_000  # narrow rows that every executor can hold
@@ -139,8 +164,8 @@ def map_groups(
     """Python over whole groups, many small ones at a time.
 
     Rows are dealt by ``keys`` and sorted by them; ``work`` gets tables of at
-    least ``rows`` rows (or all that is left) that hold whole groups, with the
-    (start, end) of each. Groups themselves must be small: the caller divides
+    least ``rows`` rows or ``BATCH_BYTES`` (or all that is left) that hold whole
+    groups, with the (start, end) of each. Groups themselves must be small: the caller divides
     large ones beforehand.
     """
     import numpy as np
@@ -161,7 +186,7 @@ def map_groups(
                 continue
             held.append(batch)
             size += batch.num_rows
-            if size < rows:
+            if size < rows and sum(b.nbytes for b in held) < BATCH_BYTES:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
             at = starts(table)

@@ -25,6 +25,7 @@ SHINGLE = 5
 SIMILAR = 0.8
 BANDS, ROWS = 24, 5  # of a pair at 0.8, one in fourteen thousand agrees in no band
 BLOCK = 512  # members of a bucket that a task compares with as many others
+BLOCK_BYTES = 8 << 20  # and of their sets, as texts may be very long
 
 _ODD = np.random.default_rng(42).integers(0, 1 << 63, BANDS * ROWS, np.uint64) * np.uint64(2) + np.uint64(1)
 _ADD = np.random.default_rng(43).integers(0, 1 << 63, BANDS * ROWS, np.uint64)
@@ -134,24 +135,29 @@ def _exhausted(rows: DataFrame, similar: float) -> DataFrame:
     Members of a bucket are dealt to blocks, and each pair of blocks is a group
     of its own. A member is compared with a whole group in one sweep.
     """
-    sizes = rows.groupBy("bucket").agg(F.ceil(F.count(F.lit(1)) / BLOCK).cast("int").alias("blocks"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(F.sum(F.octet_length("own")) / BLOCK_BYTES))
+    sizes = rows.groupBy("bucket").agg(blocks.cast("int").alias("blocks"))
     dealt = rows.join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "root", "own")
 
     def work(table: pa.Table, groups: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-        keys, roots, sets = (table.column(c).to_pylist() for c in ("node", "root", "own"))
+        keys, roots = (table.column(c).to_numpy() for c in ("node", "root"))
+        own = table.column("own").combine_chunks()
+        own = own.chunk(0) if isinstance(own, pa.ChunkedArray) else own
+        _, places, data = own.buffers()
+        ends = np.frombuffer(places, np.int32)[own.offset : own.offset + len(own) + 1].astype(np.int64) // 8
+        every = np.frombuffer(data, np.uint64, count=int(ends[-1])) if data is not None else np.zeros(0, np.uint64)
         a, b = [], []
         for lo, hi in groups:
             label = np.unique(roots[lo:hi], return_inverse=True)[1]
             if hi - lo < 2 or label.max() == 0:
                 continue
-            own = [np.frombuffer(s, np.uint64) for s in sets[lo:hi]]
-            size = np.array([len(s) for s in own])
-            terms, flat = np.unique(np.concatenate(own), return_inverse=True)
-            at = np.concatenate([[0], np.cumsum(size)])
+            at = ends[lo : hi + 1] - ends[lo]
+            size = np.diff(at)
+            terms, flat = np.unique(every[ends[lo] : ends[hi]], return_inverse=True)
             most = np.bincount(label).argmax()
-            mark = np.zeros(len(terms), np.int64)
+            mark = np.zeros(len(terms), np.int32)
             for i in np.flatnonzero(label != most).tolist():  # of a pair across, one at least is not in the largest
                 mark[:] = 0
                 mark[flat[at[i] : at[i + 1]]] = 1
@@ -159,8 +165,8 @@ def _exhausted(rows: DataFrame, similar: float) -> DataFrame:
                 near = np.flatnonzero((both >= similar * (size + size[i] - both)) & (label != label[i]))
                 for k in near.tolist():
                     if label[k] != label[i]:
-                        a.append(keys[lo + i])
-                        b.append(keys[lo + k])
+                        a.append(int(keys[lo + i]))
+                        b.append(int(keys[lo + k]))
                         label[label == label[i]] = label[k]
         if a:
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
