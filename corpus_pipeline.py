@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.llm import decontaminate, packing, secrets, similar, toxicity
-from veilframe.llm.common import name, narrow, written
+from veilframe.llm.common import discard, name, narrow, written, written_so_far
 from veilframe.llm.queries import packed, table, toxicity_model
 
 DEDUP_BITS = 4  # of fingerprints that only propose pairs; the five-word shingles decide
@@ -102,10 +102,14 @@ ORACLE_SQL = None  # trained scores, fingerprints and tokenizers are beyond SQL
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over ``documents``; each result is written to the shared folder and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over ``documents``; each result is written to the shared folder and read again.
+
+    A stage's own tables, and the result of the one before, are deleted once its result is written.
+    """
+    docs, since = table(spark, sf_dir, "documents"), written_so_far()
     for k, (_, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
         if k + 1 < len(STAGES):
             docs = written(docs, f"stage{k}")
+            discard(spark, since)
     return docs
