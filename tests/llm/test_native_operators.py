@@ -65,6 +65,8 @@ def test_ownership_separates_examples_from_live_values(spark):
     verdicts = {(r.id, r.kind): (r.verdict, r.n_owners) for r in secrets.findings(rows).collect()}
     assert verdicts[30, "assign"] == ("example", 6) and verdicts[20, "assign"] == ("live", 1) and verdicts[1, "bare"] == ("live", 1)
     assert (2, "bare") not in verdicts
+    counts = {(r.doc_id, r.n_live, r.n_example) for r in secrets.digest(secrets.secrets(docs, owner=F.col("source"), repo=F.col("source"))).collect()}
+    assert {(1, 1, 0), (20, 1, 0), (30, 0, 1), (2, 0, 0), (21, 0, 0), (None, 1, 0)} <= counts
 
 
 def test_redaction_keeps_every_row(spark):

@@ -157,39 +157,48 @@ def secrets(
     repo: Column | None = None,
     owner: Column | None = None,
     max_owners: int = MAX_OWNERS,
+    wide_owners: int = WIDE_OWNERS,
 ) -> DataFrame:
-    """(id, key, base, added) of every row: its base matches, and the bare runs that are live.
+    """(id, key, base, added, findings) of every row: its base matches, the bare runs that are live, and both with their verdicts.
 
-    Arrays hold (start, rank, end, kind, hash, live), sorted. Null texts have no
+    Arrays hold (start, rank, end, kind, hash, live), ``findings`` (n_owners,
+    verdict) as well; they are sorted. Texts are searched whole. Null texts have no
     findings; null repositories and owners are one unnamed one. Repeated rows
     count once by owner and keep their own results. Only ``id_col``, ``text_col``
     and what ``repo`` and ``owner`` name (without them: nobody's) are read.
     """
     rows = scanned(docs, id_col, text_col, repo if repo is not None else F.lit(""), owner if owner is not None else F.lit(""))
-    return _judged(rows, max_owners)
+    return _judged(rows, max_owners, wide_owners)
 
 
-def _judged(rows: DataFrame, max_owners: int) -> DataFrame:
-    """Rows without bare runs are never shuffled; the others meet their runs that few own, by key."""
-    bare = rows.where(F.size("bare") > 0)
-    each = bare.select("key", F.explode("bare").alias("c")).distinct().withColumn("hash", F.col("c.hash"))
-    few = ownership(rows).where(F.col("n_owners") <= max_owners).select("hash")
-    owned = each.join(few, "hash").groupBy("key").agg(F.array_sort(F.collect_list("c")).alias("added"))
-    none = F.array().cast(f"array<{SPAN}>")
-    joined = bare.join(owned, "key", "left").select("id", "key", "base", F.coalesce("added", none).alias("added"))
-    return joined.unionByName(rows.where(F.size("bare") == 0).select("id", "key", "base", none.alias("added")))
+def _judged(rows: DataFrame, max_owners: int, wide_owners: int) -> DataFrame:
+    """Rows without candidates are never shuffled; the others meet the verdicts on theirs by key."""
+    every, n = F.concat("base", "bare"), F.size("base") + F.size("bare")
+    some = rows.where(n > 0)
+    each = some.select("key", F.explode(every).alias("c")).distinct().select("key", "c.*")
+    judged = each.join(ownership(rows), "hash").withColumn("verdict", verdict(max_owners, wide_owners))
+    judged = judged.where("kind <> 'bare' or verdict = 'live'")
+    found = judged.groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "rank", "end", "kind", "hash", "live", "n_owners", "verdict"))).alias("findings"))
+    none = F.array().cast(found.schema["findings"].dataType)
+    added = F.transform(F.filter("findings", lambda c: c["kind"] == "bare"), lambda c: F.struct(*[c[f].alias(f) for f in ("start", "rank", "end", "kind", "hash", "live")]))
+    joined = some.join(found, "key", "left").withColumn("findings", F.coalesce("findings", none)).select("id", "key", "base", added.alias("added"), "findings")
+    return joined.unionByName(rows.where(n == 0).select("id", "key", "base", F.array().cast(f"array<{SPAN}>").alias("added"), none.alias("findings")))
 
 
 def _count(kind: str) -> Column:
     return F.size(F.filter("base", lambda c: c["kind"] == kind)).cast("long").alias(f"n_{kind}")
 
 
+def _judged_as(kind: str) -> Column:
+    return F.size(F.filter("findings", lambda c: c["verdict"] == kind)).cast("long").alias(f"n_{kind}")
+
+
 def _listed(spans: Column) -> Column:
     return F.concat_ws(",", F.transform(spans, lambda c: F.concat_ws(":", c["kind"], c["start"].cast("string"), c["end"].cast("string"))))
 
 
 def digest(found: DataFrame) -> DataFrame:
-    """The contract's columns of a result of :func:`secrets`."""
+    """The contract's columns of a result of :func:`secrets`, and how many findings are live and widely copied."""
     every = F.array_sort(F.concat("base", "added"))
     return found.select(
         F.col("id").alias("doc_id"),
@@ -198,6 +207,8 @@ def digest(found: DataFrame) -> DataFrame:
         _count("hex"),
         F.sha2(_listed(F.col("base")), 256).alias("base_sha256"),
         _listed(every).alias("spans"),
+        _judged_as("live"),
+        _judged_as("example"),
     )
 
 
@@ -259,8 +270,8 @@ def oracle(max_owners: int = MAX_OWNERS) -> str:
     bare AS (SELECT * FROM ({found("bare", BARE, 0)}) r WHERE {live} AND ({unannounced})
       AND NOT EXISTS (SELECT 1 FROM base WHERE base.doc_id = r.doc_id AND base.s < r.e AND r.s < base.e)),
     owners AS (SELECT v, count(DISTINCT coalesce(source, '')) AS n FROM (SELECT * FROM base UNION ALL SELECT * FROM bare) GROUP BY v),
-    every AS (SELECT * FROM base UNION ALL SELECT bare.* FROM bare JOIN owners USING (v) WHERE n <= {max_owners}),
+    every AS (SELECT base.*, n FROM base JOIN owners USING (v) UNION ALL SELECT bare.*, n FROM bare JOIN owners USING (v) WHERE n <= {max_owners}),
     b AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS a, count(*) FILTER (kind = 'access') AS c, count(*) FILTER (kind = 'hex') AS h, {listed} AS l FROM base GROUP BY doc_id),
-    x AS (SELECT doc_id, {listed} AS spans FROM every GROUP BY doc_id)
-    SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(l, '')) AS base_sha256, coalesce(spans, '') AS spans
-    FROM documents LEFT JOIN b USING (doc_id) LEFT JOIN x USING (doc_id)"""
+    x AS (SELECT doc_id, {listed} AS spans, count(*) FILTER (n <= {max_owners} AND {live}) AS live, count(*) FILTER (n >= {WIDE_OWNERS}) AS wide FROM every GROUP BY doc_id)
+    SELECT doc_id, coalesce(a, 0) AS n_assign, coalesce(c, 0) AS n_access, coalesce(h, 0) AS n_hex, sha256(coalesce(l, '')) AS base_sha256, coalesce(spans, '') AS spans,
+      coalesce(live, 0) AS n_live, coalesce(wide, 0) AS n_example FROM documents LEFT JOIN b USING (doc_id) LEFT JOIN x USING (doc_id)"""
