@@ -182,20 +182,19 @@ def test_whole_licence_files_and_wrapped_headers(spark):
 
 
 def test_licence_cosine_against_brute_force(spark):
-    texts = ["Licensed under CC BY 4.0.", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY-NC 4.0.", "This file is licensed under the GNU GPL license v3"]
+    texts = ["Licensed under CC BY 4.0.", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY-NC 4.0.", "This file is licensed under the GNU GPL license v3", "no hint, but words under a document like any other", None, ""]
     docs = spark.createDataFrame([(i, f"d{i}/f", t) for i, t in enumerate(texts)], "doc_id long, path string, text string")
     got = {r.id: r for r in licenses.licences(docs, F.col("path"), similar=0.0).collect()}
     cut = lambda t: re.findall(licenses.WORD, t.lower())
-    passages = [" ".join(cut(s)) for t in texts for s in (t, t) if s]  # each is its own only sentence
-    total, df = len(passages), Counter()
-    for p in passages:
-        df.update(set(p.split()))
+    total, df = len(texts), Counter()
+    for t in texts:
+        df.update(set(cut(t or "")))
     weigh = lambda ws: {w: n * (math.log((1 + total) / (1 + df[w])) + 1) for w, n in Counter(ws).items()}
 
     def cosine(a, b):
         return sum(a[w] * b.get(w, 0) for w in a) / math.sqrt(sum(x * x for x in a.values()) * sum(x * x for x in b.values()))
 
-    for i, t in enumerate(texts):
+    for i, t in enumerate(texts[:4]):
         best = max((cosine(weigh(cut(t)), weigh(cut(m))), -k, lic) for k, (lic, m) in enumerate(licenses.TEMPLATES))
         assert (got[i].license, round(got[i].cosine, 6)) == (best[2], round(best[0], 6))
 

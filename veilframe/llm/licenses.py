@@ -14,7 +14,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import BROADCAST_ROWS, checkpointed, name, written
+from veilframe.llm.common import BROADCAST_ROWS, checkpointed, name, narrow, written
 
 # Public licence notices.
 TEMPLATES = [
@@ -106,25 +106,31 @@ def passages(docs: DataFrame, id_col: str, text_col: str, path: Column) -> DataF
     return written(rows.withColumn("key", F.md5("whole")), "licences")
 
 
-def _scores(spark: SparkSession, texts: DataFrame, similar: float) -> DataFrame:
+def frequencies(docs: DataFrame, text_col: str, vocabulary: DataFrame) -> DataFrame:
+    """(term, df): in how many of all documents each term of the (checkpointed) vocabulary occurs."""
+    words = F.array_distinct(_words(F.coalesce(name(text_col).cast("string"), F.lit(""))))
+    each = docs.select(F.explode(words).alias("term")).join(narrow(vocabulary), "term", "left_semi")
+    return each.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+
+
+def _scores(docs: DataFrame, text_col: str, total: int, texts: DataFrame, similar: float) -> DataFrame:
     """(passage, header, template, license, cosine): the best template of each distinct passage, headers apart.
 
-    ``texts`` has (passage, words, n): the keys of distinct passages, their words
-    and in how many rows each occurs. Document frequencies count all these rows, so a copied passage weighs
-    as often as it occurs but is compared once. They are numbered, so that long
-    keys are not repeated for each word.
+    ``texts`` has (passage, words): the keys of distinct passages and their
+    words. Document frequencies count all ``total`` documents, for the terms of
+    passages and templates. Passages are numbered, so that long keys are not
+    repeated for each word.
     """
-    known = templates(spark)
-    numbered = written(texts.select(F.monotonically_increasing_id().alias("no"), "passage", "words", "n"), "licence-passages")
-    keys, texts = numbered.select("no", "passage"), numbered.select(F.col("no").alias("passage"), "words", "n")
-    total = texts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"))
-    terms = texts.select("passage", "n", F.explode(F.split("words", " ")).alias("term")).groupBy("passage", "n", "term").agg(F.count(F.lit(1)).alias("tf"))
-    df = terms.groupBy("term").agg(F.sum("n").alias("df"))
+    known = templates(docs.sparkSession)
+    numbered = written(texts.select(F.monotonically_increasing_id().alias("no"), "passage", "words"), "licence-passages")
+    keys = numbered.select("no", "passage")
+    terms = numbered.select(F.col("no").alias("passage"), F.explode(F.split("words", " ")).alias("term")).groupBy("passage", "term").agg(F.count(F.lit(1)).alias("tf"))
     wanted = known.select("template", "license", F.explode("words").alias("term")).groupBy("template", "license", "term").agg(F.count(F.lit(1)).alias("tf"))
-    weight = F.col("tf") * (F.log((F.lit(1.0) + F.col("total")) / (F.lit(1.0) + F.coalesce("df", F.lit(0)))) + 1.0)
-    one = F.broadcast(total)  # a single row
-    x = terms.join(df, "term").crossJoin(one).select("passage", "term", weight.alias("x"))
-    y = wanted.join(df, "term", "left").crossJoin(one).select("template", "license", "term", weight.alias("y"))
+    vocabulary = numbered.select(F.explode(F.array_distinct(F.split("words", " "))).alias("term")).unionByName(wanted.select("term")).distinct()
+    df = checkpointed(frequencies(docs, text_col, checkpointed(vocabulary)))
+    weight = F.col("tf") * (F.log((F.lit(1.0) + F.lit(total)) / (F.lit(1.0) + F.coalesce("df", F.lit(0)))) + 1.0)
+    x = terms.join(df, "term").select("passage", "term", weight.alias("x"))
+    y = wanted.join(df, "term", "left").select("template", "license", "term", weight.alias("y"))
     y_norm = y.groupBy("template").agg(F.sqrt(F.sum(F.col("y") * F.col("y"))).alias("y_norm"))
     y = F.broadcast(y.join(y_norm, "template"))  # as many rows as the templates have words
     x_norm = x.groupBy("passage").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("x_norm"))
@@ -160,23 +166,23 @@ def licences(
     The licences of directories are broadcast while they are few; beyond, each is
     dealt to ``SALTS`` places, so that a directory with very many files is not in one.
     """
-    spark = docs.sparkSession
     rows = passages(docs, id_col, text_col, path)
     hinted = rows.where("whole is not null and whole <> ''")
     files = hinted.select(F.col("key").alias("passage"), F.col("whole").alias("words"))
     heads = hinted.select(F.explode("sentences").alias("words")).where("words <> ''").select(F.md5("words").alias("passage"), "words")
     blocks = hinted.select(F.explode("blocks").alias("words")).where("words <> ''").select(F.md5("words").alias("passage"), "words")
-    # Blocks repeat words of the files, so they are compared but not counted.
-    texts = files.unionByName(heads).withColumn("one", F.lit(1)).unionByName(blocks.withColumn("one", F.lit(0)))
-    texts = texts.groupBy("passage").agg(F.min("words").alias("words"), F.sum("one").alias("n"))
-    scores = written(_scores(spark, texts, similar), "licence-scores")
+    texts = files.unionByName(heads).unionByName(blocks).groupBy("passage").agg(F.min("words").alias("words"))
+    scores = written(_scores(docs, text_col, rows.count(), texts, similar), "licence-scores")
 
     whole = scores.where("not header").select(F.col("passage").alias("key"), F.struct(F.col("cosine"), F.col("license")).alias("file"))
     sentence = scores.select("passage", F.struct(F.col("cosine"), (-F.col("template")).alias("order"), F.col("license")).alias("head"))
     pairs = hinted.select("key", F.explode(F.array_union("sentences", "blocks")).alias("words")).select("key", F.md5("words").alias("passage")).distinct()
     heads_of = pairs.join(sentence, "passage").groupBy("key").agg(F.max("head").alias("head"))
     own = whole.join(heads_of, "key", "full").select("key", "file", "head")
-    found = rows.select("id", "path", directory_of(F.col("path")).alias("folder"), "key").join(own, "key", "left")
+    # Rows without a hint have no key; in the join they would all meet in one task.
+    placed = rows.select("id", "path", directory_of(F.col("path")).alias("folder"), "key")
+    plain = placed.where("key is null").withColumns({c: F.lit(None).cast(own.schema[c].dataType) for c in ("file", "head")})
+    found = placed.where("key is not null").join(own, "key", "left").unionByName(plain)
 
     # Directories with a licence file; ties by cosine, then name.
     covers = found.where("file is not null").groupBy("folder").agg(F.min(F.struct((-F.col("file.cosine")).alias("order"), F.col("file.license").alias("license"))).alias("m"))
@@ -213,9 +219,9 @@ def oracle(similar: float = SIMILAR) -> str:
     return f"""WITH known AS (SELECT template, license, term, count(*) AS tf FROM (SELECT template, license, unnest({words("txt")}) AS term FROM (VALUES {known}) t(template, license, txt)) GROUP BY ALL),
     hinted AS (SELECT doc_id, text, array_to_string({words("text")}, ' ') AS whole FROM documents WHERE regexp_matches(text, {quoted(HINT)})),
     heads AS (SELECT DISTINCT doc_id, array_to_string({words("x")}, ' ') AS passage FROM (SELECT doc_id, unnest({cut}) AS x FROM hinted) WHERE regexp_matches(x, {quoted(HINT)})),
-    texts AS (SELECT passage, count(*) AS n FROM (SELECT whole AS passage FROM hinted UNION ALL SELECT passage FROM heads) WHERE passage <> '' GROUP BY passage),
-    terms AS (SELECT passage, n, term, count(*) AS tf FROM (SELECT passage, n, unnest(string_split(passage, ' ')) AS term FROM texts) GROUP BY ALL),
-    df AS (SELECT term, sum(n) AS df FROM terms GROUP BY term), total AS (SELECT coalesce(sum(n), 0) AS total FROM texts),
+    texts AS (SELECT DISTINCT passage FROM (SELECT whole AS passage FROM hinted UNION ALL SELECT passage FROM heads) WHERE passage <> ''),
+    terms AS (SELECT passage, term, count(*) AS tf FROM (SELECT passage, unnest(string_split(passage, ' ')) AS term FROM texts) GROUP BY ALL),
+    df AS (SELECT term, count(*) AS df FROM (SELECT unnest(list_distinct({words("coalesce(text, '')")})) AS term FROM documents) GROUP BY term), total AS (SELECT count(*) AS total FROM documents),
     x AS (SELECT passage, term, {weight} AS x FROM terms JOIN df USING (term), total),
     y AS (SELECT template, license, term, {weight} AS y FROM known LEFT JOIN df USING (term), total),
     xn AS (SELECT passage, sqrt(sum(x * x)) AS xn FROM x GROUP BY passage), yn AS (SELECT template, sqrt(sum(y * y)) AS yn FROM y GROUP BY template),
