@@ -28,6 +28,7 @@ BEGINNINGS = range(4, 9)  # letters of the beginnings of a word that are feature
 REMEMBERED = 300_000  # words whose weight a worker remembers
 FLIPPED = 0.03  # share of labels taken to be wrong
 EPOCHS = 200
+SENTENCES = 32_768  # whose words are summed at a time
 
 _FOLD = {i: chr(i).lower() if chr(i).isalpha() else "\n" if chr(i) in ".!?;\n\r" else " " for i in range(128)}
 
@@ -123,40 +124,43 @@ def fit(rows: Iterable[tuple[str, int]], epochs: int = EPOCHS) -> Model:
             columns.extend(map(words.__getitem__, sentence))
             lengths.append(len(sentence))
             owners.append(doc)
-    if not any(labels):
+    if not any(labels) or not owners:
         return Model()
-    if not owners:
-        return Model()
-    shares: dict[str, int] = {}
-    for word, i in words.items():
-        n = counts[i]
-        for f in features(word):
-            shares[f] = shares.get(f, 0) + n
-    index = {f: i for i, f in enumerate(sorted(f for f, n in shares.items() if n >= LEAST_DOCS))}
-    del shares
+    index: dict[str, int] = {}
     part_words, parts = array("i"), array("i")
-    for word, i in words.items():
-        for f in features(word):
-            if f in index:
+    for named in (lambda word: word, *(lambda word, k=k: word[:k] + "*" if k <= len(word) else None for k in BEGINNINGS)):
+        shares: dict[str, int] = {}  # of one kind of features at a time
+        for word, i in words.items():
+            if (f := named(word)) is not None:
+                shares[f] = shares.get(f, 0) + counts[i]
+        for f in sorted(f for f, n in shares.items() if n >= LEAST_DOCS):
+            index[f] = len(index)
+        del shares
+        for word, i in words.items():
+            if (f := named(word)) in index:
                 part_words.append(i)
                 parts.append(index[f])
     n_words = len(words)
     words.clear()
     column, length, owner, part_word, part = (np.frombuffer(c, np.int32) if c else np.zeros(0, np.int32) for c in (columns, lengths, owners, part_words, parts))
-    row = np.repeat(np.arange(len(length), dtype=np.int32), length)
+    first = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
+    blocks = [*range(0, len(length), SENTENCES), len(length)]
     y = np.array(labels, np.float64)
     w, bias = np.zeros(len(index)), -6.0
     moments = [np.zeros(len(index) + 1), np.zeros(len(index) + 1)]
     share, strength = 1.0 - 2.0 * FLIPPED, 2e-5
     for step in range(1, epochs + 1):
         by_word = np.bincount(part_word, w[part], n_words)
-        z = np.clip(bias + np.bincount(row, by_word[column], len(length)), -40, 40)
+        z = np.concatenate([np.add.reduceat(by_word[column[first[i] : first[j]]], first[i:j] - first[i]) for i, j in zip(blocks, blocks[1:], strict=False)])
+        z = np.clip(bias + z, -40, 40)
         p = 1.0 / (1.0 + np.exp(-z))
         clean = np.exp(np.bincount(owner, -np.logaddexp(0, z), len(y)))
         observed = FLIPPED + share * (1.0 - clean)
         slope = np.where(y > 0, share / observed, -share / (1.0 - observed)) * clean
         push = slope[owner] * p
-        pull = np.bincount(column, push[row], n_words)
+        pull = np.zeros(n_words)
+        for i, j in zip(blocks, blocks[1:], strict=False):
+            pull += np.bincount(column[first[i] : first[j]], np.repeat(push[i:j], length[i:j]), n_words)
         gradient = np.append(np.bincount(part, pull[part_word], len(index)), push.sum()) / len(y)
         gradient[:-1] -= strength * np.sign(w) + strength * w
         moments[0] = 0.9 * moments[0] + 0.1 * gradient
