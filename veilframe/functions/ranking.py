@@ -49,22 +49,19 @@ def _after(row: str, edge: str, terms: Sequence[tuple[str, bool]]) -> Column:
 def skip_rows(df: DataFrame, n: int, order_by: Sequence[str] | str) -> DataFrame:
     """All but the first ``n`` rows, without sorting the rest.
 
-    The n-th row is found by a distributed top-n; every later row passes a
+    The n-th row is found by one distributed top-n, whose last step holds n rows
+    in a task, so n should be small beside the data; every later row passes a
     row-wise comparison with it. Copies of that row are interchangeable, so only
     their number has to be right.
     """
     if n <= 0:
         return df
     terms = order_terms(df, order_by)
-    top = df.orderBy(*order_columns(terms)).limit(n)
     packed = F.struct(*[F.col(_quoted(c)) for c in df.columns])
-    backwards = [F.col(_quoted(c)).asc() if down else F.col(_quoted(c)).desc() for c, down in terms]
-    edge = top.orderBy(*backwards).limit(1).select(packed.alias("edge"))
-    used = top.select(packed.alias("row")).join(F.broadcast(edge), F.col("row").eqNullSafe(F.col("edge")))
-    used = used.agg(F.count(F.lit(1)).alias("used"), F.first("edge").alias("edge"))
-    full = top.agg((F.count(F.lit(1)) == n).alias("full"))
+    top = df.orderBy(*order_columns(terms)).limit(n).select(packed.alias("edge"), F.row_number().over(Window.orderBy(*order_columns(terms))).alias("k"))
+    same = F.count(F.lit(1)).over(Window.partitionBy("edge")).alias("used")
+    edge_row = F.broadcast(top.select("edge", "k", same).filter(F.col("k") == n).drop("k"))  # one row, or none of fewer than n
     rows = df.select(packed.alias("row"))
-    edge_row = F.broadcast(used.crossJoin(full).filter("full"))
     behind = rows.join(edge_row, _after("row", "edge", terms)).select("row.*")
     copies = (
         rows.join(edge_row, F.col("row").eqNullSafe(F.col("edge")))
