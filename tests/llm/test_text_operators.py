@@ -90,6 +90,30 @@ def test_trie_join_at_every_task_size(spark, task_rows):
     assert at.tolist() == brute_components(codes, 2)
 
 
+@pytest.mark.parametrize(("budget", "n", "tries"), [(2, 10**6, 3), (4, 10**7, 5), (4, 10**9, 15), (4, 10**13, 70), (0, 10**12, 1)])
+def test_tries_hold_every_pair_within_the_budget(spark, monkeypatch, budget, n, tries):
+    made = simhash._tries(budget, n, simhash.TASK_ROWS)
+    assert len(made) == tries and all(sum(w for _, w in blocks) == 64 for _, blocks in made)
+    rng = random.Random(budget)
+    pairs = []
+    for _ in range(200):
+        x = rng.getrandbits(64)
+        y = x
+        for b in rng.sample(range(64), budget):
+            y ^= 1 << b
+        pairs.append((x, y))
+
+    def arranged(x, blocks):
+        return int("".join(format(x, "064b")[a : a + w] for a, w in blocks), 2)
+
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    frame = spark.createDataFrame([(signed(x),) for x, _ in pairs], "simhash long")
+    got = frame.select("simhash", *[simhash._arranged(blocks).alias(f"t{i}") for i, (_, blocks) in enumerate(made)]).collect()
+    for (x, y), row in zip(pairs, got, strict=True):
+        assert [v % 2**64 for v in row[1:]] == [arranged(x, blocks) for _, blocks in made]
+        assert any(arranged(x, blocks) >> (64 - depth) == arranged(y, blocks) >> (64 - depth) for depth, blocks in made)
+
+
 def test_simhash_empty_null_ids_and_repeats(spark):
     empty = spark.createDataFrame([], "doc_id long, text string")
     assert simhash.near_duplicates(empty).count() == 0

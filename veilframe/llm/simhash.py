@@ -4,14 +4,16 @@ Fingerprints of equal bits meet at once. Different ones are joined in tries:
 pairs of nodes are walked down together, differing bits add up, and a pair is
 left as soon as they exceed the budget. With a budget of ``k`` bits, the bits are
 dealt into ``k + 1`` blocks of which at least one has to agree, so there is one
-trie for each block (the bits rotated to put it on top), and the walk starts at
-nodes below that block. Node pairs with too many fingerprints for one task are
+trie for each block (its bits put on top), and the walk starts at nodes below
+that block. Of ``k + 2`` blocks any two agree, and so on: with more fingerprints
+there are more tries with longer tops. Node pairs with too many fingerprints for one task are
 walked further by Spark itself: rows move to the pairs of child nodes still
 within the budget, until every task is small.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -26,6 +28,7 @@ from veilframe.llm.components import components
 
 BITS = 64
 TASK_ROWS = 20_000  # fingerprints under a pair of nodes that one task walks
+MOST_AGREED = 4  # blocks that agree on top of a trie, at most
 STEP_BITS = 6  # bits by which a larger pair of nodes is divided
 LEAF = 16  # comparisons below which a pair of nodes is compared directly
 FRONT = 400_000  # node pairs walked at a time
@@ -160,13 +163,37 @@ def _compare(codes: np.ndarray, front: np.ndarray, budget: int, labels: _Labels)
 
 
 # ---- the walk across tasks -------------------------------------------------------
-def _blocks(budget: int) -> list[tuple[int, int]]:
-    """(first bit, bits) of ``budget + 1`` nearly equal blocks."""
-    n = budget + 1
+def _blocks(n: int) -> list[tuple[int, int]]:
+    """(first bit, bits) of ``n`` nearly equal blocks."""
     edges = [i * BITS // n for i in range(n + 1)]
     return [(a, b - a) for a, b in zip(edges, edges[1:], strict=False)]
 
 
+def _tries(budget: int, n: int, task_rows: int) -> list[tuple[int, list[tuple[int, int]]]]:
+    """(bits on top, blocks in their order) of tries one of which holds any two of the fingerprints under one node.
+
+    As few as leave a node of evenly spread fingerprints small for a task.
+    """
+    for more in range(MOST_AGREED):
+        blocks = _blocks(budget + 1 + more)
+        tops = list(itertools.combinations(range(len(blocks)), 1 + more))
+        depth = min(sum(blocks[i][1] for i in top) for top in tops)
+        if n <= task_rows // 4 << depth:
+            break
+    rest = lambda top: [i for i in range(len(blocks)) if i not in top]
+    return [(sum(blocks[i][1] for i in top), [blocks[i] for i in (*top, *rest(top))]) for top in tops]
+
+
+def _arranged(blocks: list[tuple[int, int]]) -> Column:
+    """The fingerprint with its bits in the order of the blocks."""
+    parts, at = [], BITS
+    for first, width in blocks:
+        at -= width
+        mask = (1 << width) - 1 if width < BITS else -1
+        parts.append(f"shiftleft(shiftrightunsigned(simhash, {BITS - first - width}) & {mask}L, {at})")
+    return F.expr(" | ".join(parts))
+
+
 def _masks(budget: int) -> list[int]:
     return [m for m in range(1 << STEP_BITS) if m.bit_count() <= budget]
 
@@ -194,14 +221,14 @@ def _divided(rows: DataFrame, budget: int) -> DataFrame:
 def links(prints: DataFrame, budget: int = 2, task_rows: int = TASK_ROWS) -> DataFrame:
     """(a, b): enough links between ``rep`` ids for the components of all pairs within ``budget`` bits.
 
-    ``prints`` has distinct fingerprints (``simhash``) with one id each (``rep``).
+    ``prints`` has distinct fingerprints (``simhash``) with one id each (``rep``);
+    it is counted first, so it should be kept.
     A task links its rows to one of them per component found, so that a dense
     group of n fingerprints gives n links and not n squared.
     """
     tries = []
-    for k, (first, width) in enumerate(_blocks(budget)):
-        code = F.col("simhash") if first == 0 else F.expr(f"shiftleft(simhash, {first}) | shiftrightunsigned(simhash, {BITS - first})")
-        tries.append(F.struct(F.lit(k).alias("trie"), F.lit(width).alias("depth"), code.alias("code")))
+    for k, (depth, blocks) in enumerate(_tries(budget, prints.count(), task_rows)):
+        tries.append(F.struct(F.lit(k).alias("trie"), F.lit(depth).alias("depth"), _arranged(blocks).alias("code")))
     rows = prints.select("rep", F.explode(F.array(*tries)).alias("t")).select(
         "t.trie",
         F.expr(f"shiftrightunsigned(t.code, {BITS} - t.depth)").cast("string").alias("pair"),
