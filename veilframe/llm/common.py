@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator, Sequence
@@ -103,19 +104,21 @@ def estimated_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-_KEPT: dict[str, Callable[[], None]] = {}
+_KEPT: dict[str, dict] = {}
 
 
-def keeps(module: str, empty: Callable[[], None]) -> None:
-    """``module`` keeps memory in this Python process that ``empty`` lets go."""
-    _KEPT[module] = empty
+def keeps(module: str, store: dict) -> None:
+    """``module`` keeps memory in this Python process, in ``store``."""
+    _KEPT[module] = store
 
 
 def forget(*but: str) -> None:
     """Let go what other modules keep in this Python process; workers are reused from stage to stage."""
-    for module, empty in _KEPT.items():
-        if module not in but:
-            empty()
+    others = [store for module, store in _KEPT.items() if store and module not in but]
+    for store in others:
+        store.clear()
+    if others:
+        gc.collect()  # what they held may refer to itself
     _trim()
 
 

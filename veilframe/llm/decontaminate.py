@@ -202,7 +202,7 @@ def contamination(
 
 
 _BUILT: dict[str, Matcher] = {}  # the last one of this Python process
-keeps(__name__, _BUILT.clear)
+keeps(__name__, _BUILT)
 
 
 def _worker(items: list[tuple[str | None, str | None]], text_col: str, window: int, first: bool):

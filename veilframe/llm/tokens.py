@@ -163,4 +163,4 @@ def encoder(path: str) -> Encoder:
     return _ENCODERS[path]
 
 
-keeps(__name__, _ENCODERS.clear)
+keeps(__name__, _ENCODERS)

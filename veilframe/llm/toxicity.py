@@ -128,40 +128,43 @@ def fit(rows: Iterable[tuple[str, int]], epochs: int = EPOCHS) -> Model:
         return Model()
     index: dict[str, int] = {}
     part_words, parts = array("i"), array("i")
-    for named in (lambda word: word, *(lambda word, k=k: word[:k] + "*" if k <= len(word) else None for k in BEGINNINGS)):
-        shares: dict[str, int] = {}  # of one kind of features at a time
+    for word, i in words.items():
+        if counts[i] >= LEAST_DOCS:
+            part_words.append(i)
+            parts.append(index.setdefault(word, len(index)))
+    for k in BEGINNINGS:
+        shares: dict[str, int] = {}  # of beginnings of one length at a time
         for word, i in words.items():
-            if (f := named(word)) is not None:
-                shares[f] = shares.get(f, 0) + counts[i]
-        for f in sorted(f for f, n in shares.items() if n >= LEAST_DOCS):
-            index[f] = len(index)
-        del shares
+            if k <= len(word):
+                shares[word[:k]] = shares.get(word[:k], 0) + counts[i]
         for word, i in words.items():
-            if (f := named(word)) in index:
+            if k <= len(word) and shares[word[:k]] >= LEAST_DOCS:
                 part_words.append(i)
-                parts.append(index[f])
+                parts.append(index.setdefault(word[:k] + "*", len(index)))
+        del shares
     n_words = len(words)
     words.clear()
     column, length, owner, part_word, part = (np.frombuffer(c, np.int32) if c else np.zeros(0, np.int32) for c in (columns, lengths, owners, part_words, parts))
     first = np.concatenate([[0], np.cumsum(length, dtype=np.int64)])
-    blocks = [*range(0, len(length), SENTENCES), len(length)]
+    starts = np.flatnonzero(np.diff(owner, prepend=-1))  # of documents among the sentences
+    cuts = starts[np.unique(np.searchsorted(starts, np.arange(0, len(length), SENTENCES)).clip(max=len(starts) - 1))]
+    blocks = list(zip(cuts.tolist(), [*cuts[1:].tolist(), len(length)], strict=True))  # of whole documents
     y = np.array(labels, np.float64)
     w, bias = np.zeros(len(index)), -6.0
     moments = [np.zeros(len(index) + 1), np.zeros(len(index) + 1)]
     share, strength = 1.0 - 2.0 * FLIPPED, 2e-5
     for step in range(1, epochs + 1):
-        by_word = np.bincount(part_word, w[part], n_words)
-        z = np.concatenate([np.add.reduceat(by_word[column[first[i] : first[j]]], first[i:j] - first[i]) for i, j in zip(blocks, blocks[1:], strict=False)])
-        z = np.clip(bias + z, -40, 40)
-        p = 1.0 / (1.0 + np.exp(-z))
-        clean = np.exp(np.bincount(owner, -np.logaddexp(0, z), len(y)))
-        observed = FLIPPED + share * (1.0 - clean)
-        slope = np.where(y > 0, share / observed, -share / (1.0 - observed)) * clean
-        push = slope[owner] * p
-        pull = np.zeros(n_words)
-        for i, j in zip(blocks, blocks[1:], strict=False):
-            pull += np.bincount(column[first[i] : first[j]], np.repeat(push[i:j], length[i:j]), n_words)
-        gradient = np.append(np.bincount(part, pull[part_word], len(index)), push.sum()) / len(y)
+        by_word, pull, pushed = _added(part_word, w, part, n_words), np.zeros(n_words), 0.0
+        for i, j in blocks:
+            tokens, doc = column[first[i] : first[j]], owner[i:j] - owner[i]
+            z = np.clip(bias + np.add.reduceat(by_word[tokens], first[i:j] - first[i]), -40, 40)
+            clean = np.exp(np.bincount(doc, -np.logaddexp(0, z)))
+            observed = FLIPPED + share * (1.0 - clean)
+            slope = np.where(y[owner[i] : owner[i] + len(clean)] > 0, share / observed, -share / (1.0 - observed)) * clean
+            push = slope[doc] / (1.0 + np.exp(-z))
+            pull += np.bincount(tokens, np.repeat(push, length[i:j]), n_words)
+            pushed += push.sum()
+        gradient = np.append(_added(part, pull, part_word, len(index)), pushed) / len(y)
         gradient[:-1] -= strength * np.sign(w) + strength * w
         moments[0] = 0.9 * moments[0] + 0.1 * gradient
         moments[1] = 0.99 * moments[1] + 0.01 * gradient**2
@@ -171,6 +174,15 @@ def fit(rows: Iterable[tuple[str, int]], epochs: int = EPOCHS) -> Model:
     return Model(float(bias), {f: float(w[i]) for f, i in index.items() if abs(w[i]) > 0.02})
 
 
+def _added(place: np.ndarray, values: np.ndarray, source: np.ndarray, n: int) -> np.ndarray:
+    """Sums of ``values[source]`` by place, a bounded number at a time."""
+    out = np.zeros(n)
+    for lo in range(0, len(place), 1 << 18):
+        part = slice(lo, lo + (1 << 18))
+        out += np.bincount(place[part], values[source[part]], n)
+    return out
+
+
 def train(
     docs: DataFrame,
     labels: DataFrame,
