@@ -14,7 +14,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilframe.llm.common import BROADCAST_ROWS, checkpointed, name, narrow, written
+from veilframe.llm.common import BROADCAST_ROWS, checkpointed, name, written
 
 # Public licence notices.
 TEMPLATES = [
@@ -107,10 +107,10 @@ def passages(docs: DataFrame, id_col: str, text_col: str, path: Column) -> DataF
 
 
 def frequencies(docs: DataFrame, text_col: str, vocabulary: DataFrame) -> DataFrame:
-    """(term, df): in how many of all documents each term of the (checkpointed) vocabulary occurs."""
+    """(term, df): in how many of all documents each term of the vocabulary occurs. Counts are combined before they are shuffled."""
     words = F.array_distinct(_words(F.coalesce(name(text_col).cast("string"), F.lit(""))))
-    each = docs.select(F.explode(words).alias("term")).join(narrow(vocabulary), "term", "left_semi")
-    return each.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    counted = docs.select(F.explode(words).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    return counted.join(vocabulary, "term", "left_semi")
 
 
 def _scores(docs: DataFrame, text_col: str, total: int, texts: DataFrame, similar: float) -> DataFrame:
@@ -127,7 +127,7 @@ def _scores(docs: DataFrame, text_col: str, total: int, texts: DataFrame, simila
     terms = numbered.select(F.col("no").alias("passage"), F.explode(F.split("words", " ")).alias("term")).groupBy("passage", "term").agg(F.count(F.lit(1)).alias("tf"))
     wanted = known.select("template", "license", F.explode("words").alias("term")).groupBy("template", "license", "term").agg(F.count(F.lit(1)).alias("tf"))
     vocabulary = numbered.select(F.explode(F.array_distinct(F.split("words", " "))).alias("term")).unionByName(wanted.select("term")).distinct()
-    df = checkpointed(frequencies(docs, text_col, checkpointed(vocabulary)))
+    df = checkpointed(frequencies(docs, text_col, vocabulary))
     weight = F.col("tf") * (F.log((F.lit(1.0) + F.lit(total)) / (F.lit(1.0) + F.coalesce("df", F.lit(0)))) + 1.0)
     x = terms.join(df, "term").select("passage", "term", weight.alias("x"))
     y = wanted.join(df, "term", "left").select("template", "license", "term", weight.alias("y"))
