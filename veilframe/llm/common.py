@@ -73,7 +73,8 @@ def discard(spark: SparkSession, since: int, keep: int = 1) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
-BATCH_BYTES = 16 << 20  # of an Arrow batch, and of the groups a worker holds at a time
+BATCH_BYTES = 4 << 20  # of an Arrow batch, which the JVM holds outside its heap
+GROUP_BYTES = 16 << 20  # of the groups a worker holds at a time
 
 
 def small_batches(spark: SparkSession, rows: int = 1000) -> None:
@@ -153,6 +154,8 @@ def append_columns(
             arrays = [batch.column(batch.schema.get_field_index(n)) for n in names]
             arrays += list(made(batch))
             yield pa.RecordBatch.from_arrays([a.cast(f.type) if a.type != f.type else a for a, f in zip(arrays, arrow, strict=True)], names=arrow.names)
+        del made
+        _trim()
 
     return df.mapInArrow(run, schema)
 
@@ -167,7 +170,7 @@ def map_groups(
     """Python over whole groups, many small ones at a time.
 
     Rows are dealt by ``keys`` and sorted by them; ``work`` gets tables of at
-    least ``rows`` rows or ``BATCH_BYTES`` (or all that is left) that hold whole
+    least ``rows`` rows or ``GROUP_BYTES`` (or all that is left) that hold whole
     groups, with the (start, end) of each. Groups themselves must be small: the caller divides
     large ones beforehand.
     """
@@ -189,7 +192,7 @@ def map_groups(
                 continue
             held.append(batch)
             size += batch.num_rows
-            if size < rows and sum(b.nbytes for b in held) < BATCH_BYTES:
+            if size < rows and sum(b.nbytes for b in held) < GROUP_BYTES:
                 continue
             table = pa.Table.from_batches(held).combine_chunks()
             at = starts(table)
@@ -202,5 +205,7 @@ def map_groups(
             table = pa.Table.from_batches(held).combine_chunks()
             at = [*starts(table).tolist(), table.num_rows]
             yield from work(table, list(zip(at, at[1:], strict=False)))
+        held, table = [], None
+        _trim()
 
     return df.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(run, schema)

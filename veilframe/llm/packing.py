@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
-from veilframe.llm.common import estimated_bytes, name, small_batches
+from veilframe.llm.common import estimated_bytes, forget, name, small_batches
 from veilframe.llm.tokens import encoder
 
 POOL = 1024  # rests among which the heuristic chooses
@@ -103,10 +103,13 @@ def pack(
     limits: Limits = Limits(),
     end_id: int = 2,
     loss_from: Column | None = None,
+    keep_pieces: bool = True,
 ) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids, loss_tokens, doc_tokens, sequence_id, offset.
 
     ``loss_from`` gives the first token of a row that bears loss (none: all do).
+    With ``keep_pieces`` a Python worker remembers encoded pieces from task to
+    task; without, it lets them go with each, for steps that follow.
     ``ids`` holds little-endian unsigned 32-bit integers. Each id lies in exactly
     one piece; offsets within a sequence have no gaps.
 
@@ -173,6 +176,9 @@ def pack(
             place(pool.filled())
         if rows:
             yield batch_of(rows)
+        if not keep_pieces:
+            del encode_one
+            forget()
 
     quiet = F.lit(0).cast("long") if loss_from is None else F.coalesce(loss_from.cast("long"), F.lit(0))
     rows = docs.select(name(id_col), name(text_col).cast("string"), quiet)
