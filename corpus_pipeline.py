@@ -87,7 +87,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Long texts are cut into pieces, repeated rows packed as often as they come,
     null texts one end id. An empty table gives no piece.
     """
-    return packing.digest(packed(docs))
+    return packing.digest(packed(docs, keep_pieces=False))
 
 
 STAGES = [
