@@ -20,7 +20,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema, to_arrow_type
 
 from veilframe.llm.common import estimated_bytes, forget, name, small_batches
-from veilframe.llm.tokens import encoder
+from veilframe.llm.tokens import MEMORY, encoder
 
 POOL = 1024  # rests among which the heuristic chooses
 PART_BYTES = 8 << 20  # least input of a task, so that its one half-filled sequence weighs little
@@ -103,13 +103,14 @@ def pack(
     limits: Limits = Limits(),
     end_id: int = 2,
     loss_from: Column | None = None,
-    keep_pieces: bool = True,
+    pieces: int | None = None,
 ) -> DataFrame:
     """Pieces of all documents: doc_id, start, length, ids, loss_tokens, doc_tokens, sequence_id, offset.
 
     ``loss_from`` gives the first token of a row that bears loss (none: all do).
-    With ``keep_pieces`` a Python worker remembers encoded pieces from task to
-    task; without, it lets them go with each, for steps that follow.
+    A Python worker remembers encoded pieces from task to task; with ``pieces``
+    it remembers no more than these and lets them go with each task, for a step
+    among others that share its memory.
     ``ids`` holds little-endian unsigned 32-bit integers. Each id lies in exactly
     one piece; offsets within a sequence have no gaps.
 
@@ -144,7 +145,7 @@ def pack(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         context = TaskContext.get()
         sequence = (context.partitionId() if context else 0) << 33
-        encode_one, pool, rows, size = encoder(tokenizer_path), Pool(limits), [], 0
+        encode_one, pool, rows, size = encoder(tokenizer_path, pieces or MEMORY), Pool(limits), [], 0
 
         def place(pieces: list) -> None:
             nonlocal sequence, size
@@ -176,7 +177,7 @@ def pack(
             place(pool.filled())
         if rows:
             yield batch_of(rows)
-        if not keep_pieces:
+        if pieces is not None:
             del encode_one
             forget()
 

@@ -37,9 +37,9 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.digest_of(token_store.read_store(spark, folder))
 
 
-def packed(docs: DataFrame, keep_pieces: bool = True) -> DataFrame:
+def packed(docs: DataFrame, pieces: int | None = None) -> DataFrame:
     """Pieces of ``docs`` under limits that all can bind: the first 32 tokens of a document are its prompt and bear no loss."""
-    return packing.pack(docs, tokenizer("word_bpe_49k.json"), limits=packing.Limits(loss=4096 - PROMPT), loss_from=F.lit(PROMPT), keep_pieces=keep_pieces)
+    return packing.pack(docs, tokenizer("word_bpe_49k.json"), limits=packing.Limits(loss=4096 - PROMPT), loss_from=F.lit(PROMPT), pieces=pieces)
 
 
 @query

@@ -56,17 +56,17 @@ class _Memory(dict):
     """What was encoded before. A full one takes nothing more for a while, so that
     frequent strings, which come early, are not driven out by ones that never return."""
 
-    def __init__(self):
+    def __init__(self, most: int):
         super().__init__()
-        self._refused = 0
+        self._refused, self._most = 0, most
 
     def keep(self, key: str, out: bytes) -> bytes:
-        if len(self) < MEMORY:
+        if len(self) < self._most:
             if len(key) <= LONGEST:
                 self[key] = out
         else:
             self._refused += 1
-            if self._refused >= 20 * MEMORY:
+            if self._refused >= 20 * self._most:
                 self._refused = 0
                 self.clear()
         return out
@@ -75,8 +75,8 @@ class _Memory(dict):
 class _Parts(_Memory):
     """Token bytes of parts that the tokenizer itself keeps apart."""
 
-    def __init__(self, encode):
-        super().__init__()
+    def __init__(self, encode, most: int):
+        super().__init__(most)
         self._encode = encode
 
     def __missing__(self, part: str) -> bytes:
@@ -86,8 +86,8 @@ class _Parts(_Memory):
 class _Pieces(_Memory):
     """Token bytes of pieces between spaces, ``lead`` being what stands before each."""
 
-    def __init__(self, parts: _Parts, lead: str, word):
-        super().__init__()
+    def __init__(self, parts: _Parts, lead: str, word, most: int):
+        super().__init__(most)
         self._parts, self._lead, self._word = parts, lead, word
 
     def __missing__(self, piece: str) -> bytes:
@@ -101,7 +101,7 @@ class _Pieces(_Memory):
 class Encoder:
     """``encoder(text)`` gives the ids as little-endian unsigned 32-bit integers."""
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, most: int = MEMORY):
         from tokenizers import Tokenizer
         from tokenizers.pre_tokenizers import ByteLevel
 
@@ -114,8 +114,8 @@ class Encoder:
         alphabet = ByteLevel(add_prefix_space=False, use_regex=False)
         single = [c for c in map(chr, range(0x20, 0x100)) if c == " " or _WORD.fullmatch(c)]
         self._bytes = {ord(c): alphabet.pre_tokenize_str(c)[0][0] for c in single}
-        self._parts = _Parts(self.part)
-        self._pieces = _Pieces(self._parts, " " if self._kind == "glued" else "", self._word())
+        self._parts = _Parts(self.part, most)
+        self._pieces = _Pieces(self._parts, " " if self._kind == "glued" else "", self._word(), most)
 
     def _word(self):
         """What encodes a piece of Latin letters alone, with what stands before it."""
@@ -155,12 +155,13 @@ class Encoder:
 _ENCODERS: dict[str, Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder per file and Python process; workers are reused, so are its memories."""
+def encoder(path: str, most: int = MEMORY) -> Encoder:
+    """One encoder per file and Python process; workers are reused, so are its memories of ``most`` entries."""
     forget(__name__)
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+    key = f"{path}:{most}"
+    if key not in _ENCODERS:
+        _ENCODERS[key] = Encoder(path, most)
+    return _ENCODERS[key]
 
 
 keeps(__name__, _ENCODERS)
