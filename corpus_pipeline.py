@@ -16,6 +16,7 @@ from veilframe.llm import decontaminate, packing, secrets, similar, toxicity
 from veilframe.llm.common import discard, name, narrow, written, written_so_far
 from veilframe.llm.queries import packed, table, toxicity_model
 
+PIECES = 150_000  # encoded pieces that a worker remembers beside what earlier stages left
 DEDUP_BITS = 4  # of fingerprints that only propose pairs; the five-word shingles decide
 
 
@@ -87,7 +88,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Long texts are cut into pieces, repeated rows packed as often as they come,
     null texts one end id. An empty table gives no piece.
     """
-    return packing.digest(packed(docs, keep_pieces=False))
+    return packing.digest(packed(docs, pieces=PIECES))
 
 
 STAGES = [
